@@ -29,8 +29,8 @@ ORDER, GAP, NEAR, WIDE = 3, 0.7, 0.75, 40
 #: Labelled rows learned from (about; all if fewer), landmarks of each kind, words in a worker's memory.
 LEARNED_ROWS, LANDMARKS, MEMORY = 6_000, 40, 400_000
 #: Two landmarks of one kind are less alike than this; words that a toxic text is taken to need; values that
-#: calibrate; clean words in the machine's sample.
-ALIKE, NEEDED, TOP, CLEAN = 0.55, 2, 3, 8_000
+#: calibrate; clean words in the machine's sample; words of a text that it sees.
+ALIKE, NEEDED, TOP, CLEAN, NEAREST = 0.55, 2, 3, 8_000, 12
 #: Signs that stand for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 apart = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}").findall
@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
         if not n1 or not n0:
             return Machine(Landmarks([], 0), np.zeros(0), 0.0, np.array([0.0] * (2 * TOP + 3) + [share]))
         df = bag.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-        counts = [(r["word"], r["p"], r["q"]) for r in df.where("p + q >= 3 or p >= 2").orderBy(F.desc("p"), F.desc("q"), "word").limit(60_000).toArrow().to_pylist()]
+        counts = [(r["word"], r["p"], r["q"]) for r in df.where("p + q >= 3 or p >= 2").orderBy(F.desc("p"), F.desc("q"), "word").limit(40_000).toArrow().to_pylist()]
         marks = chosen(counts, n1, n0)
         if not marks.words:
             return Machine(marks, np.zeros(0), 0.0, np.array([0.0] * (2 * TOP + 3) + [share]))
@@ -266,11 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
                     seen.setdefault(words[i], {})[j] = v
                 out = []
                 for bag_ in bags:
-                    best: dict[int, tuple[float, str]] = {}
-                    for w in bag_:
-                        for j, v in seen.get(w, {}).items():
-                            best[j] = max(best.get(j, (0.0, "")), (v, w))
-                    dense = np.zeros((len(kept := sorted({w for _, w in best.values()})), len(marks.words)), np.float32)
+                    like = {w: max((v for j, v in seen[w].items() if j < marks.toxic), default=0.0) for w in bag_ if w in seen}
+                    kept = sorted(sorted(like, key=lambda w: (-like[w], w))[:NEAREST])
+                    dense = np.zeros((len(kept), len(marks.words)), np.float32)
                     for k, w in enumerate(kept):
                         dense[k, list(seen[w])] = list(seen[w].values())
                     out.append(dense.ravel())
@@ -280,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
 
         found = map_arrow(bag.select("doc_id", "words", "y"), instances, "doc_id bigint, near array<float>, y int").toArrow().sort_by("doc_id")
         y = np.array(found.column("y").to_pylist())
-        near_words = [np.array(x, float).reshape(-1, len(marks.words)) for x in found.column("near").to_pylist()]
+        near_words = [x.reshape(-1, len(marks.words)) for x in arrays(found.column("near"))]
         weights, bias, cap = learned(marks, near_words, y)
         machine = Machine(marks, weights, bias, np.zeros(0), cap)
 
@@ -293,13 +291,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
 
         kept = bag.select("doc_id")
         found = map_arrow(sample.join(F.broadcast(kept), "doc_id", "left_semi").select("doc_id", "text", "y"), measured, "doc_id bigint, f array<double>, y int").toArrow().sort_by("doc_id")
-        machine.curve = calibrated(np.array(found.column("f").to_pylist()), np.array(found.column("y").to_pylist(), float))
+        machine.curve = calibrated(np.array(arrays(found.column("f"))), np.array(found.column("y").to_pylist(), float))
         machine.known = {}
         return machine
     finally:
         bag.unpersist()
 
 
+def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A column of lists as arrays, without a Python object for each number."""
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    return np.split(flat.flatten().to_numpy(zero_copy_only=False), np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(flat) else []
+
+
 def learned(marks: Landmarks, bags: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Weights of the landmarks, the bias and the cap: the machine over Nystroem features K(landmarks)^(-1/2) k(word), refitted
     with the words of each toxic text that it finds worst."""
