@@ -61,22 +61,20 @@ def windows(word: str) -> list[str]:
     return [word] if len(word) <= WIDE else [word[k : k + WIDE] for k in range(0, len(word) - WIDE // 2, WIDE // 2)]
 
 
-def coded(words: list[str], fill: int) -> np.ndarray:
-    out = np.full((len(words), max(map(len, words), default=0)), fill, np.int32)
-    for k, w in enumerate(words):
-        out[k, : len(w)] = [ord(c) for c in w]
-    return out
+def coded(words: list[str]) -> np.ndarray:
+    """The code points of each word in a row, filled up with zeros."""
+    wide = max(1, max(map(len, words), default=1))
+    return np.array(words, dtype=f"<U{wide}").view(np.uint32).reshape(len(words), wide).astype(np.int32)
 
 
-def mask(word: str) -> int:
-    m = 0
-    for c in word:
-        m |= 1 << ((ord(c) - 97) % 61)
-    return m
+def masks_of(codes: np.ndarray) -> np.ndarray:
+    """A bit for each letter of each row (letters 61 apart share one)."""
+    return np.bitwise_or.reduce(np.where(codes > 0, np.uint64(1) << ((codes - 97) % 61).astype(np.uint64), np.uint64(0)), axis=1)
 
 
 def kernel_rows(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The kernel of each row of s with the row of t beside it (codes; unlike fillers at the ends)."""
+    """The kernel of each row of s with the row of t beside it (codes, zeros at the ends)."""
+    t = np.where(t == 0, -1, t)
     rows, m = t.shape
     fade = GAP ** (np.arange(m)[None, :] - np.arange(m)[:, None])
     fade = np.where(np.arange(m)[None, :] >= np.arange(m)[:, None], fade, 0).astype(np.float32)
@@ -95,21 +93,29 @@ def kernel_rows(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
-def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """The kernel of a[k] with b[k], in batches of like length."""
-    out = np.zeros(len(a), np.float32)
-    order = np.argsort([len(x) * 64 + len(y) for x, y in zip(a, b)], kind="stable")
+def kernel_of(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The kernel of rows i of codes a with rows j of codes b, in batches of like length."""
+    out = np.zeros(len(i), np.float32)
+    la, lb = (a > 0).sum(1)[i], (b > 0).sum(1)[j]
+    order = np.argsort(la * 64 + lb, kind="stable")
     for k in range(0, len(order), 4096):
         pick = order[k : k + 4096]
-        out[pick] = kernel_rows(coded([a[i] for i in pick], -1), coded([b[i] for i in pick], -2))
+        out[pick] = kernel_rows(a[i[pick], : max(1, la[pick].max())], b[j[pick], : max(1, lb[pick].max())])
     return out
 
 
+def kernel(a: list[str], b: list[str]) -> np.ndarray:
+    """The kernel of a[k] with b[k]."""
+    at = np.arange(len(a))
+    return kernel_of(coded(a), at, coded(b), at) if a else np.zeros(0, np.float32)
+
+
 class Landmarks:
     def __init__(self, words: list[str], toxic: int):
         """words: the landmarks, the first `toxic` of them from toxic sentences."""
         self.words, self.toxic = words, toxic
-        self.masks = np.array([mask(w) for w in words], np.uint64)
+        self.codes = coded(words)
+        self.masks = masks_of(self.codes) if words else np.zeros(0, np.uint64)
         self.least = np.ceil(NEAR * np.bitwise_count(self.masks)).astype(np.uint8)
         self.own = kernel(words, words) if words else np.zeros(0, np.float32)
 
@@ -118,16 +124,15 @@ class Landmarks:
         parts = [(k, p) for k, w in enumerate(words) for p in windows(w)]
         if not parts or not self.words:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
-        masks = np.array([mask(p) for _, p in parts], np.uint64)
-        of, mark = np.nonzero(np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.least[None, :])
+        whose, codes = np.array([k for k, _ in parts]), coded([p for _, p in parts])
+        of, mark = np.nonzero(np.bitwise_count(masks_of(codes)[:, None] & self.masks[None, :]) >= self.least[None, :])
         found = np.unique(of)
         if not len(found):
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
-        names = [parts[i][1] for i in found]
         own = np.zeros(len(parts), np.float32)
-        own[found] = kernel(names, names)
-        value = kernel([parts[i][1] for i in of], [self.words[j] for j in mark]) ** 2 / np.maximum(own[of] * self.own[mark], 1e-12)
-        word = np.array([parts[i][0] for i in of])
+        own[found] = kernel_of(codes, found, codes, found)
+        value = kernel_of(codes, of, self.codes, mark) ** 2 / np.maximum(own[of] * self.own[mark], 1e-12)
+        word = whose[of]
         key = word * len(self.words) + mark
         at, inv = np.unique(key, return_inverse=True)
         best = np.zeros(len(at), np.float32)
