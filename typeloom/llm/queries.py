@@ -10,6 +10,7 @@ from . import toxicity
 from .bpe import encode_documents
 from .common import table
 from .langid import identify
+from .mixing import mix
 from .neardup import near_duplicates
 from .quality import classify
 
@@ -45,3 +46,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
