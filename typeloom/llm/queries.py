@@ -12,6 +12,7 @@ from .common import table
 from .langid import identify
 from .mixing import mix
 from .neardup import near_duplicates
+from .pii import surrogates
 from .quality import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,8 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates(table(spark, sf_dir, "documents"))
