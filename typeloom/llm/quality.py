@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, sampled
+from .common import fold, map_arrow, sampled, slices
 
 #: Places for hashed words; labelled rows learned from at most (about; all if fewer); factors; passes over the sample.
 PLACES = 1 << 14
@@ -157,19 +157,32 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     return Machine().learn(feats, np.array(found.column("y").to_pylist(), float))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score of every document: a narrow map with the model (under 1 MB, a fixed size) in the closure's broadcast."""
+def score(docs: DataFrame, machine: Machine, keep: float | None = None) -> DataFrame:
+    """doc_id, score of every document; with keep, instead the documents, all columns, whose score is at least that.
+    A narrow map with the model (under 1 MB, a fixed size) broadcast."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
+    place = {c.lower(): k for k, c in enumerate(docs.columns)}
 
-    def make():
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
         m = model.value
+        meta = batch.column(place["n_chars"]).to_pylist() if "n_chars" in place else [None] * batch.num_rows
+        return m.score([features(t or "", n if n is not None and n >= 0 else None) for t, n in zip(batch.column(place["text"]).to_pylist(), meta)])
 
+    def make():
         def f(batch: pa.RecordBatch) -> list:
-            return [batch.column(0), pa.array(m.score(batch_features(batch)), pa.float64())]
+            return [batch.column(0), pa.array(model.value.score(batch_features(batch)), pa.float64())]
 
         return f
 
-    return map_arrow(inputs(docs), make, "doc_id bigint, score double")
+    if keep is None:
+        return map_arrow(inputs(docs), make, "doc_id bigint, score double")
+
+    def kept(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(scores(part) >= keep))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
