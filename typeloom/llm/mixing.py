@@ -24,7 +24,7 @@ SLOTS = 1 << 20
 #: 2^32 / phi, rounded to odd: the golden-ratio sequence in 32-bit integers (a fixed value).
 GOLDEN = 2654435769
 #: Rows of one bucket of the shuffled order, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def words_in(text: Column) -> Column:
