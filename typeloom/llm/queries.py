@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import toxicity
+from . import ann, toxicity
 from .bpe import encode_documents
 from .common import table
 from .langid import identify
@@ -57,3 +58,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
