@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, sampled, slices
+from .common import arrays, fold, map_arrow, sampled, slices
 
 #: Places for hashed words; labelled rows learned from at most (about; all if fewer); factors; passes over the sample.
 PLACES = 1 << 14
-LEARNED_ROWS = 12_000
+LEARNED_ROWS = 8_000
 FACTORS = 4
 PASSES = 12
 BINS = 12
@@ -99,7 +99,7 @@ class Machine:
         """Adagrad on the logistic loss, in an order fixed by the seed."""
         if len(y) == 0:
             return self
-        stats = np.array([f[2] for f in feats]).reshape(len(feats), STATS)
+        stats = np.array([f[2] for f in feats], float).reshape(len(feats), STATS)
         self.edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T.copy()
         p = (y.sum() + 1) / (len(y) + 2)
         self.w0 = float(np.log(p / (1 - p)))
@@ -152,9 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
 
     found = map_arrow(inputs(docs).join(F.broadcast(marked), "doc_id").select("doc_id", "text", "meta", "y"), make, "doc_id bigint, places array<int>, vals array<float>, stats array<double>, y int").toArrow()
     found = found.sort_by("doc_id")
-    lists = [found.column(k).to_pylist() for k in ("places", "vals", "stats")]
-    feats = [(np.array(p, np.int32), np.array(v, np.float32), s) for p, v, s in zip(*lists)]
-    return Machine().learn(feats, np.array(found.column("y").to_pylist(), float))
+    y = found.column("y").to_numpy().astype(float)
+    feats = list(zip(*(arrays(found.column(k)) for k in ("places", "vals", "stats"))))
+    del found
+    return Machine().learn(feats, y)
 
 
 def score(docs: DataFrame, machine: Machine, keep: float | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, fold, map_arrow, sampled, texts
+from .common import arrays, doc_columns, fold, map_arrow, sampled, texts
 
 ORDER, GAP, NEAR, WIDE = 3, 0.7, 0.75, 40
 #: Labelled rows learned from (about; all if fewer), landmarks of each kind, words in a worker's memory.
@@ -303,13 +303,6 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
         bag.unpersist()
 
 
-def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """A column of lists as arrays, without a Python object for each number."""
-    flat = column.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return np.split(flat.flatten().to_numpy(zero_copy_only=False), np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(flat) else []
-
-
 def learned(marks: Landmarks, bags: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Weights of the landmarks, the bias and the cap: the machine over Nystroem features K(landmarks)^(-1/2) k(word), refitted
     with the words of each toxic text that it finds worst."""
