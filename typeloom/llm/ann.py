@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sampled, written
-from .vectors import PART_ROWS, QUERY_BLOCK, best, flat, searched, top
+from .vectors import PART_ROWS, QUERY_BLOCK, best, distinct_values, flat, lists, searched, top
 
 CENTROIDS, FITTED, ROUNDS = 32, 20_000, 12
 #: The share of all vectors, and the number at least, whose cells a query walks through.
@@ -41,32 +41,6 @@ def usable(table: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return rows.where(F.size("v") == width), width
 
 
-def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """v, ids: each distinct vector with its k + 1 smallest ids. Each task keeps no more of a vector before the shuffle."""
-
-    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            seen: dict[bytes, int] = {}
-            n = batch.column(1)
-            width = len(n[0]) if len(n) else 0
-            v = n.flatten().to_numpy().reshape(-1, width) if width else np.zeros((0, 0))
-            keep, last = [], {}
-            for i in order.tolist():
-                b = v[i].tobytes()
-                if seen.get(b, 0) <= k and last.get(b) != ids[i]:
-                    seen[b] = seen.get(b, 0) + 1
-                    last[b] = ids[i]
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    short = rows.mapInArrow(few, "vec_id bigint, v array<double>")
-    # two steps, so that a common vector's short lists from many tasks don't meet at once
-    part = short.groupBy("v", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
-    return part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-
-
 def k_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
@@ -135,7 +109,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every row for which `queries` (of vec_id) holds."""
     spark = table.sparkSession
     rows, width = usable(table)
-    vectors = written(spark, distinct_vectors(rows, k), "vectors")
+    vectors = written(spark, distinct_values(rows, "v", "array<double>", k), "vectors")
     index = fitted(vectors, width) if width else None
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -163,9 +137,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
 
     def work(asks: pa.Table, held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, cell = flat(held, "v", width, np.float64), held.column("cell").to_numpy()
-        ids = held.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        starts, every = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]), ids.flatten().to_numpy()
+        starts, every = lists(held, "ids")
         least = every[starts[:-1]] if len(x) else every
         out_q, out_v, out_s = [], [], []
         q, walks, owns = flat(asks, "v", width, np.float64), asks.column("walk").to_pylist(), asks.column("query_id").to_pylist()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, toxicity
+from . import ann, hamming, toxicity
 from .bpe import encode_documents
 from .common import table
 from .langid import identify
@@ -63,3 +63,23 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op1_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(hamming.sign_codes(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op1_hamming"] = """
+WITH v AS (
+  SELECT vec_id, embedding AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+), found AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: CASE WHEN (q.e[i] > 0) <> (v.e[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM found)
+WHERE rank <= 20
+"""

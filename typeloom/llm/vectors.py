@@ -61,6 +61,39 @@ def best(found: DataFrame, k: int, measure: str, largest: bool) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", measure)
 
 
+def distinct_values(rows: DataFrame, column: str, kind: str, k: int) -> DataFrame:
+    """column, ids: each distinct value of rows(vec_id, column) with its k + 1 smallest ids. Each task keeps no more ids
+    of a value before the shuffle, so a value that a third of all rows hold is a short list from each task."""
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values = batch.column(0).to_numpy(), batch.column(1)
+            if pa.types.is_list(values.type):
+                keys = [x.tobytes() for x in flat(pa.Table.from_batches([batch]), column, len(values[0]) if len(values) else 1, np.float64)]
+            else:
+                keys = values.to_pylist()
+            seen: dict[bytes, set[int]] = {}
+            keep = []
+            for i in np.argsort(ids, kind="stable").tolist():
+                own = seen.setdefault(keys[i], set())
+                if len(own) <= k and ids[i] not in own:
+                    own.add(ids[i])
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    short = rows.select("vec_id", column).mapInArrow(few, f"vec_id bigint, {column} {kind}")
+    # two steps, so that a common value's short lists from many tasks don't meet at once
+    part = short.groupBy(column, F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+    return part.groupBy(column).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+
+
+def lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of each row's list (and the end of the last), and all elements."""
+    column = table.column(name).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).astype(np.int64), column.flatten().to_numpy()
+
+
 def flat(table: pa.Table, name: str, width: int, dtype) -> np.ndarray:
     column = table.column(name).combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
