@@ -11,6 +11,7 @@ from . import ann, hamming, toxicity
 from .bpe import encode_documents
 from .common import table
 from .langid import identify
+from .licenses import scan
 from .mixing import mix
 from .neardup import near_duplicates
 from .pii import surrogates
@@ -83,3 +84,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM found)
 WHERE rank <= 20
 """
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
