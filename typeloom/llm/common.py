@@ -3,6 +3,7 @@ deterministic bounded samples and a place for written intermediate tables."""
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -92,3 +93,16 @@ def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     flat = column.combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     return np.split(flat.flatten().to_numpy(zero_copy_only=False), np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(flat) else []
+
+
+def fitted_in_task(sample: DataFrame, order: str, fit: Callable[[pa.Table], object]) -> object:
+    """fit(rows of a bounded sample, in order), run in one task, so that the driver gets the model only. A lost task is
+    run again and gives the same model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows = pa.Table.from_batches(held, held[0].schema) if held else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).sortWithinPartitions(order).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else fit(None)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, fold, map_arrow, sampled, slices
+from .common import arrays, fitted_in_task, fold, map_arrow, sampled, slices
 
 #: Places for hashed words; labelled rows learned from at most (about; all if fewer); factors; passes over the sample.
 PLACES = 1 << 14
@@ -150,12 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
 
         return f
 
-    found = map_arrow(inputs(docs).join(F.broadcast(marked), "doc_id").select("doc_id", "text", "meta", "y"), make, "doc_id bigint, places array<int>, vals array<float>, stats array<double>, y int").toArrow()
-    found = found.sort_by("doc_id")
-    y = found.column("y").to_numpy().astype(float)
-    feats = list(zip(*(arrays(found.column(k)) for k in ("places", "vals", "stats"))))
-    del found
-    return Machine().learn(feats, y)
+    sample = map_arrow(inputs(docs).join(F.broadcast(marked), "doc_id").select("doc_id", "text", "meta", "y"), make, "doc_id bigint, places array<int>, vals array<float>, stats array<double>, y int")
+    return fitted_in_task(sample, "doc_id", fit)
+
+
+def fit(rows: pa.Table | None) -> Machine:
+    """The machine learned from rows of features and labels."""
+    if rows is None or not rows.num_rows:
+        return Machine()
+    feats = list(zip(*(arrays(rows.column(k)) for k in ("places", "vals", "stats"))))
+    return Machine().learn(feats, rows.column("y").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, keep: float | None = None) -> DataFrame:
