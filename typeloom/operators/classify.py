@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
-tag, name = F.col("tag"), F.col("name")
-
 
 def is_named_type() -> Column:
     return F.col("tag").isin(S.NAMED_TERMINAL) & F.col("name").isNotNull()
