@@ -11,7 +11,7 @@
 
 No pair is emitted but those that first connect two classes; large buckets and groups are dealt in pairs of blocks.
 Null, empty and all-white texts have no shingles and stand alone. Repeated rows (equal doc_id) get equal results, each
-row its own. Extra columns are ignored. What is read again is written in the shared folder.
+row its own; a row without doc_id stands alone. Extra columns are ignored. What is read again is written in the shared folder.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spark, threshold = docs.sparkSession, percent / 100
     band = band_length(threshold)
     all_docs = written(spark, sketched(docs, words), "sketches")
-    classes = all_docs.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("one"))
+    classes = all_docs.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("one"))
     classes = written(spark, classes.selectExpr("sig", "one.doc_id rep", "one.n n", "one.sketch sketch"), "classes")
 
     member = buckets(banded(classes, band)).join(classes.select("rep", "n", F.col("sketch").alias("payload")), "rep")
