@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,7 +71,25 @@ UNIT = f"""CASE WHEN die_offset >= 6*cast({G} as bigint) AND die_offset < 7*cast
 SQL = f"items AS ({ITEMS}), raw_dies AS (\n" + "\nUNION ALL\n".join(selected(k).replace(f"*{G}", f"*cast({G} as bigint)") for k in KINDS) + f"\n), dies AS (SELECT *, {UNIT} AS cu_offset FROM raw_dies)"
 
 
+#: The projected table of each application and folder.
+LOADED: dict[tuple[str, str], str] = {}
+
+
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """projected(), written once for each application and folder, as the entries of a binary are (tables are taken
+    not to change meanwhile); written again if the result is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        if key in LOADED:
+            return spark.read.parquet(LOADED[key])
+    except AnalysisException:
+        pass
+    rows = projected(spark, sf_dir)
+    LOADED[key] = rows.inputFiles()[0].rpartition("/")[0]
+    return rows
+
+
+def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of entries, with the columns of schema.DIES that the projection can fill and nulls in the rest; written once,
     as a reader of binaries would, so that operators scan a table and not the projection."""
     sql = SQL
