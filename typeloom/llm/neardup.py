@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_columns, map_arrow, written
 from .components import components
-from .sketch import EMPTY, REGISTERS, band_keys, band_length, estimates, registers, shingles, signature
+from .sketch import REGISTERS, band_keys, band_length, estimates, registers, shingles, signature
 
 SIGMAS = 6
 #: Classes of a bucket that meet in one task; the same for full sets, and shingles of those.
