@@ -99,6 +99,7 @@ typedef unsigned int u32;
 // - Line: 7
 // - Direct Inheritance: Base -> ns::Widget
 
+
 // ns::Widget - DWARF Information:
 // - Size: 32 bytes
 // - DIE Offset: 0x00000014

@@ -38,7 +38,7 @@ def test_V2_V3_names(spark):
 
 def test_V4_hex(spark):
     assert column(spark, [26], "bigint", V.hex8) == ["0x0000001a"]
-    assert column(spark, [26], "bigint", V.hexed) == ["0x1a"]
+    assert column(spark, [26, None], "bigint", V.hexed) == ["0x1a", None]
 
 
 def test_S8_symbol_list(spark):

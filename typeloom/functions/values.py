@@ -30,12 +30,12 @@ def header_name(name: Column, suffix: str = "") -> Column:
 
 
 def hex8(x: Column) -> Column:
-    """V4: 0x and at least eight digits."""
-    return F.format_string("0x%08x", x)
+    """V4: 0x and at least eight digits; null of null."""
+    return F.when(x.isNotNull(), F.format_string("0x%08x", x))
 
 
 def hexed(x: Column) -> Column:
-    return F.format_string("0x%x", x)
+    return F.when(x.isNotNull(), F.format_string("0x%x", x))
 
 
 def base_text(text: Column) -> Column:
