@@ -239,6 +239,16 @@ def test_mixing(spark, odd, empty):
     assert mixture(odd).columns == odd.columns and mixture(empty).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    from typeloom.llm.mixing import mix
+
+    rows = [(k, "w " * 100, "big") for k in range(200)] + [(1000 + k, "w " * (k + 1), f"small{k}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = {r["doc_id"]: r["taken"] for r in mix(docs, slots=16).collect()}
+    assert [taken[1000 + k] for k in range(6)] == [2 * (k + 1) for k in range(6)]
+    assert abs(sum(taken.values()) - 1.5 * (20_000 + 21)) <= 1
+
+
 # 1, 10 searches
 def test_hamming_is_exact(spark):
     from typeloom.llm.hamming import nearest

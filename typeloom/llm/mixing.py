@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Sources by code point, null last, weigh WEIGHTS in turn and share TOTAL of all words; no target is above MOST times
-its source's size, and what is above is shared again by weight. The mix is a sequence of SLOTS slots of equally many
-words. Slot i has the golden-ratio point frac((i + 1/2) * phi), which the cumulative shares of the targets map to a
+its source's size, and what is above is shared again by weight. The mix is a sequence of SLOTS slots of about equally
+many words. Slot i has the golden-ratio point frac((i + 1/2) * phi), which the cumulative shares of the targets map to a
 source; the r-th slot of a source takes the r-th block of that source's documents in shuffled order, around the end.
+The slots of a source, one at least, share its target equally, so each source gives its target, however small, exactly.
 A block boundary may cut a document, and the mix then takes a part of it.
 
 Null and empty texts have size 0, and nothing of them is taken; without any words all targets are 0. Repeated rows are
@@ -80,10 +81,10 @@ def mixed(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     sizes = written(spark, sizes, "sources")
     shares = targets(sizes.select("source", "source_size"))
     counts = schedule(spark, shares, slots).groupBy("source").agg(F.count("*").alias("slots"))
-    total = F.sum("target").over(Window.partitionBy())
-    plan = shares.withColumn("block", total / F.lit(float(slots))).join(counts, shares["source"].eqNullSafe(counts["source"]), "left").select(shares["source"], "source_size", "target", "block", F.coalesce("slots", F.lit(0)).alias("slots"))
-    # the words that the source's slots take, the last block cut at MOST times the source
-    plan = plan.withColumn("take", F.least(F.round(F.col("slots") * F.col("block")).cast("long"), F.col("source_size") * MOST))
+    # a source between two points has one slot too; its slots share its target, so that their blocks make it up exactly
+    plan = shares.join(counts, shares["source"].eqNullSafe(counts["source"]), "left").select(shares["source"], "source_size", "target", F.greatest(F.coalesce("slots", F.lit(0)), F.lit(1)).alias("slots"))
+    plan = plan.withColumn("block", F.col("target") / F.col("slots")).drop("slots")
+    plan = plan.withColumn("take", F.least(F.round("target").cast("long"), F.col("source_size") * MOST))
     plan = plan.join(sizes.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # buckets of the shuffled order, as many as the source has rows for
     plan = F.broadcast(plan)
