@@ -249,6 +249,16 @@ def test_mixing_small_sources(spark):
     assert abs(sum(taken.values()) - 1.5 * (20_000 + 21)) <= 1
 
 
+def test_mixture_keeps_rows_without_id(spark):
+    from typeloom.llm.mixing import mixture
+
+    rows = [(k, f"a b {k}", "with") for k in range(40)] + [(None, f"c d {k}", "without") for k in range(20)] + [(None, f"e f g {k}", None) for k in range(5)]
+    out = [tuple(r) for r in mixture(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()]
+    copies = Counter(out)
+    assert set(copies) <= set(rows) and all(copies[r] == 2 for r in rows if r[2] is None)
+    assert sum(n for r, n in copies.items() if r[2] == "without") in (24, 25, 26)  # 2/7 of 300 - 40 words, three each
+
+
 # 1, 10 searches
 def test_hamming_is_exact(spark):
     from typeloom.llm.hamming import nearest

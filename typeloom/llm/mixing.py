@@ -63,14 +63,15 @@ def schedule(spark, shares: DataFrame, slots: int = SLOTS) -> DataFrame:
     return points.where(F.size("table") > 0).select("slot", found["source"].alias("source"))
 
 
+def identity() -> list[Column]:
+    """doc_id, source, size, place of a document; the place in the shuffle is a hash of the id, of the text without one."""
+    key, text = F.col("doc_id"), F.col("text").cast("string")
+    return [key.cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(text).alias("size"), F.xxhash64(F.lit("shuffle"), key.cast("string"), F.when(key.isNull(), text)).alias("place")]
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source, size of every document; the row's place in the shuffle is a hash of what it is."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        words_in(F.col("text").cast("string")).alias("size"),
-        F.xxhash64(F.lit("shuffle"), F.col("doc_id").cast("string")).alias("place"),
-    )
+    """doc_id, source, size, place of every document."""
+    return docs.select(*identity())
 
 
 def mixed(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -110,10 +111,11 @@ def mixture(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The documents of the mix, with their columns: each as often as its share of words taken, rounded, says.
     Documents that the mix takes less than half of, and those without words, are left out."""
     names = docs.columns
-    # a row is known by its content's hash and copies of a row by their number, so repeated rows stay rows of their own
-    counts = mix(docs, slots).where("size > 0").selectExpr("doc_id _id", "size _size", "cast(floor(taken / size + 0.5) as int) _times").where("_times > 0")
-    counts = counts.groupBy("_id", "_size").agg(F.sum("_times").alias("_sum"), F.count("*").alias("_n"))
-    sized = docs.withColumn("_words", words_in(F.col("text").cast("string")))
-    kept = sized.join(counts, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_words") == F.col("_size")))
+    # a row is known by its id, source, size and place, ids and sources null-safely; rows alike in all four share their copies
+    key = ("doc_id", "source", "size", "place")
+    counts = mixed(measured(docs), slots).where("size > 0").select(*[F.col(c).alias(f"_{c}") for c in key], F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
+    counts = counts.groupBy(*[f"_{c}" for c in key]).agg(F.sum("_times").alias("_sum"), F.count("*").alias("_n"))
+    sized = docs.select("*", *[c.alias(f"_own_{k}") for k, c in zip(key, identity())])
+    kept = sized.join(counts, (F.col("_own_place") == F.col("_place")) & (F.col("_own_size") == F.col("_size")) & F.col("_own_doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_own_source").eqNullSafe(F.col("_source")))
     times = F.greatest(F.lit(1), F.round(F.col("_sum") / F.col("_n"))).cast("int")
     return kept.withColumn("_k", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in names])
