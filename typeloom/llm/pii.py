@@ -2,13 +2,15 @@
 
 Found are e-mail addresses, telephone numbers, IPv4 addresses, card numbers, IBANs, social security numbers, secrets
 (values after words like token or password, and long hexadecimal strings) and names after a title. A surrogate has its
-original's length, punctuation, case, letters' script and kinds of characters: a four-round Feistel cipher, keyed and
-tweaked by the type, shifts each character within its own alphabet. So equal originals get equal surrogates in the
-whole corpus, and unequal ones unequal surrogates (a cipher is one-to-one). Country codes, top-level domains, card
+original's length, punctuation, case, letters' script and kinds of characters: two Feistel rounds, a shift that moves
+every letter and digit, and the rounds undone, keyed and tweaked by the type, each character within its own alphabet. So
+equal originals get equal surrogates in the whole corpus, unequal ones unequal surrogates, and none its original: a
+shift without fixed points has none between a permutation and its inverse either. Values without any letter and
+digit stay as they are, and so do letters of scripts beside Latin, Greek, Cyrillic, Han and Hangul whose neighbouring
+code point is no letter; the others of these scripts only change with that neighbour. Country codes, top-level domains, card
 issuers' first digit and the distance to a valid check digit stay; IPv4 octets stay octets; a first name that is in the
 list of a gender becomes another of that list, the title stays, and a surname becomes the same surrogate with or without
-a first name. A check over all distinct entities looks for collisions and for surrogates equal to their original; if there
-are any, the key's epoch is raised and all are made anew.
+a first name. `collisions` counts exceptions over all distinct entities; no job depends on it.
 
 Null texts stay null, texts without entities stay as they are, whole texts are read. Other columns pass through unchanged,
 whatever their names. Repeated rows get equal results.
@@ -29,7 +31,9 @@ FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sar
 DIGITS = "0123456789"
 LATIN, ACCENTS = "abcdefghijklmnopqrstuvwxyz", "àâäáæçèéêëìíîïñòóôöœùúûüÿ"
 GREEK, CYRILLIC = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
-HEX = "abcdef"
+HEX, REST = "abcdef", "ghijklmnopqrstuvwxyz"
+#: Han and Hangul as ranges of code points (first, count). Letters of other scripts change with a neighbour.
+RANGES = ((0x4E00, 20_992), (0xAC00, 11_172))
 
 #: Each type with its pattern, tried in this order at each place.
 PATTERNS = {
@@ -53,31 +57,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shifted(text: Column, stream: Column, alphabets: list[str]) -> Column:
-    """Each character moved on in its own alphabet by its byte of a hexadecimal stream; others stay."""
+def shifted(text: Column, stream: Column, alphabets: list[str], sign: int = 1, least: int = 0) -> Column:
+    """Each letter and digit moved in its own alphabet by its byte of a hexadecimal stream, on or (sign -1) back; by
+    `least` = 1 each is moved for certain. Other characters stay."""
     both = [a for x in alphabets for a in dict.fromkeys((x, x.upper()))]
+    letter = r"^[\p{L}\p{N}]$"
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
 
-    def one(c: Column, i: Column) -> Column:
-        by = F.conv(F.substr(stream, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    places = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)))
+    moves = F.transform(places, lambda i: F.conv(F.substr(stream, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+
+    def one(c: Column, byte: Column) -> Column:
+        by = lambda n: sign * (byte % (n - least) + least)
         out = None
         for a in both:
-            moved = F.substr(F.lit(a), (F.instr(F.lit(a), c) - 1 + by) % len(a) + 1, F.lit(1))
-            held = F.instr(F.lit(a), c) > 0
+            at = F.instr(F.lit(a), c)
+            moved, held = F.substr(F.lit(a), F.pmod(at - 1 + by(len(a)), F.lit(len(a))) + 1, F.lit(1)), at > 0
             out = F.when(held, moved) if out is None else out.when(held, moved)
+        if CYRILLIC in alphabets:
+            code = F.ascii(c)
+            for first, n in RANGES:
+                out = out.when((code >= first) & (code < first + n), char(F.pmod(code - first + by(n), F.lit(n)) + first))
+            # of any other script: changed for its neighbour, if that is a letter or digit too
+            other = char(code.bitwiseXOR(F.abs(by(2))))
+            out = out.when((code > 127) & c.rlike(letter) & other.rlike(letter), other)
         return out.otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return F.array_join(F.zip_with(F.split(text, ""), moves, one), "")
 
 
 def cipher(text: Column, key: Column, alphabets: list[str]) -> Column:
-    """One-to-one on texts of the same length and kinds of characters; the same in upper and lower case."""
+    """One-to-one on texts of the same length and kinds of characters; the same in upper and lower case. No text with a
+    letter or digit is its own image."""
     half = F.floor(F.length(text) / 2).cast("int")
     stream = lambda r, other: F.sha2(F.concat(key, F.lit(f"/{r}/"), F.length(text).cast("string"), F.lit("/"), F.lower(other)), 512)
-    turn = lambda r, own, other: shifted(own, stream(r, other), alphabets)
+    turn = lambda r, own, other, sign=1: shifted(own, stream(r, other), alphabets, sign)
+    move = lambda x, side: shifted(x, stream(side, F.lit("")), alphabets, least=1)
     return let(F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text)).alias("r")), lambda a: let(
         F.struct(turn(1, a["l"], a["r"]).alias("l"), a["r"].alias("r")), lambda b: let(
-            F.struct(b["l"].alias("l"), turn(2, b["r"], b["l"]).alias("r")), lambda c: let(
-                F.struct(turn(3, c["l"], c["r"]).alias("l"), c["r"].alias("r")), lambda d: F.concat(d["l"], turn(4, d["r"], d["l"]))))))
+            F.struct(move(b["l"], "l").alias("l"), turn(2, b["r"], b["l"]).alias("r")), lambda c: let(
+                F.struct(c["l"].alias("l"), turn(2, move(c["r"], "r"), c["l"], -1).alias("r")), lambda d: F.concat(turn(1, d["l"], d["r"], -1), d["r"])))))
 
 
 LETTERS = [LATIN, ACCENTS, GREEK, CYRILLIC]
@@ -93,8 +112,8 @@ def email(m: Column, key: Column) -> Column:
 def secret(m: Column, key: Column) -> Column:
     head = F.regexp_extract(m, r"^(?i:(?:token|secret|password|passwd|pwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)", 0)
     value = F.substr(m, F.length(head) + 1, F.length(m))
-    hexed = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    return F.concat(head, F.when(hexed, cipher(value, key, [DIGITS, HEX])).otherwise(cipher(value, key, [DIGITS, *LETTERS])))
+    # hexadecimal letters stay such, and others others, so a hexadecimal value's surrogate is no other value's
+    return F.concat(head, cipher(value, key, [DIGITS, HEX, REST, *LETTERS[1:]]))
 
 
 def iban(m: Column, key: Column) -> Column:
@@ -102,21 +121,24 @@ def iban(m: Column, key: Column) -> Column:
 
 
 def ip(m: Column, key: Column) -> Column:
-    """Two halves of two octets, each moved by a hash of the other."""
+    """Two halves of two octets, each moved by a hash of the other, the first moved on, and the rounds undone."""
     stream = lambda r, a, b: F.sha2(F.concat(key, F.lit(f"/{r}/"), a.cast("string"), F.lit("."), b.cast("string")), 256)
-    moved = lambda x, s, at: (x + F.conv(F.substr(s, F.lit(at), F.lit(2)), 16, 10).cast("int")) % 256
+    byte = lambda s, at: F.conv(F.substr(s, F.lit(at), F.lit(2)), 16, 10).cast("int")
+
+    def turned(r: int, sign: int) -> Callable[[Column], Column]:
+        own, other = ((0, 1), (2, 3)) if r == 0 else ((2, 3), (0, 1))
 
-    def turned(r: int, own: tuple[int, int], other: tuple[int, int]) -> Callable[[Column], Column]:
         def step(o: Column) -> Column:
             s = stream(r, o[other[0]], o[other[1]])
-            new = {own[0]: moved(o[own[0]], s, 1), own[1]: moved(o[own[1]], s, 3)}
+            new = {own[k]: F.pmod(o[own[k]] + sign * byte(s, 1 + 2 * k), F.lit(256)) for k in (0, 1)}
             return F.array(*[new.get(k, o[k]) for k in range(4)])
 
         return step
 
     out = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    for r in range(4):
-        out = let(out, turned(r, *(((0, 1), (2, 3)) if r % 2 == 0 else ((2, 3), (0, 1)))))
+    out = let(let(out, turned(0, 1)), turned(1, 1))
+    out = let(out, lambda o: F.array((o[0] + byte(F.sha2(key, 256), 1) % 255 + 1) % 256, o[1], o[2], o[3]))
+    out = let(let(out, turned(1, -1)), turned(0, -1))
     return F.array_join(F.transform(out, lambda x: x.cast("string")), ".")
 
 
@@ -141,17 +163,18 @@ def phone(m: Column, key: Column) -> Column:
 
 def name(m: Column, key: Column) -> Column:
     """Title kept; a listed first name becomes another of its gender's list; other names are ciphered letter by letter,
-    vowels to vowels. A ciphered name that is a listed one is ciphered again, so listed and other names don't meet."""
+    vowels to vowels. A ciphered name that is a listed one is ciphered on by the same key, so listed and other names
+    don't meet. A word becomes the same in every place."""
     words = F.split(m, " ")
     kinds = ["aeiou", "bcdfghjklmnpqrstvwxyz", ACCENTS, GREEK, CYRILLIC]
     listed = F.array(*map(F.lit, MALE_NAMES + FEMALE_NAMES))
-    again = lambda x: F.when(F.array_contains(listed, x), cipher(x, F.concat(key, F.lit("again")), kinds)).otherwise(x)
+    again = lambda x: F.when(F.array_contains(listed, x), cipher(x, key, kinds)).otherwise(x)
 
     def one(w: Column, i: Column) -> Column:
         out = F.when(i == 0, w)
         for names in (MALE_NAMES, FEMALE_NAMES):
             of, by = F.array(*map(F.lit, names)), F.conv(F.substr(F.sha2(key, 256), F.lit(1), F.lit(4)), 16, 10).cast("int") % (len(names) - 1) + 1
-            out = out.when((i < F.size(words) - 1) & F.array_contains(of, w), F.element_at(of, ((F.array_position(of, w).cast("int") - 1 + by) % len(names) + 1)))
+            out = out.when(F.array_contains(of, w), F.element_at(of, ((F.array_position(of, w).cast("int") - 1 + by) % len(names) + 1)))
         return out.otherwise(let(cipher(w, key, kinds), lambda x: let(again(x), again)))
 
     return F.array_join(F.transform(words, one), " ")
@@ -168,10 +191,10 @@ def kind_of(m: Column) -> Column:
     return out.otherwise("phone")
 
 
-def surrogate(kind: Column, m: Column, key: str, epoch: int = 0) -> Column:
+def surrogate(kind: Column, m: Column, key: str) -> Column:
     out = None
     for k, make in MAKERS.items():
-        made = make(m, F.lit(f"{key}/{epoch}/{k}"))
+        made = make(m, F.lit(f"{key}/{k}"))
         out = F.when(kind == k, made) if out is None else out.when(kind == k, made)
     return out
 
@@ -181,29 +204,24 @@ def found(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def collisions(docs: DataFrame, key: str, epoch: int, text: str = "text") -> int:
+def collisions(docs: DataFrame, key: str = KEY, text: str = "text") -> int:
     """How many surrogates stand for several originals of a type or equal their original, over all distinct entities."""
     entities = docs.select(F.explode(found(F.col(text).cast("string"))).alias("m")).groupBy("m").count()
-    made = entities.withColumn("kind", kind_of(F.col("m"))).withColumn("s", surrogate(F.col("kind"), F.col("m"), key, epoch))
-    met = made.groupBy("kind", "s").agg(F.count("*").alias("n"), F.max((F.col("s") == F.col("m")).cast("int")).alias("same"))
+    made = entities.withColumn("kind", kind_of(F.col("m"))).withColumn("s", surrogate(F.col("kind"), F.col("m"), key))
+    met = made.groupBy("kind", "s").agg(F.count("*").alias("n"), F.max(((F.col("s") == F.col("m")) & F.col("m").rlike(r"[\p{L}\p{N}]")).cast("int")).alias("same"))
     return met.where("n > 1 or same = 1").count()
 
 
-def replaced(docs: DataFrame, key: str = KEY, text: str = "text", check: bool = True, epochs: int = 4) -> DataFrame:
+def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """The documents with surrogates in their texts, all columns kept in their order. Adds no join: a text is cut at its
     entities and put together again in one map."""
-    epoch = 0
-    while check and epoch < epochs and collisions(docs, key, epoch, text):
-        epoch += 1
-    if epoch == epochs and check:
-        raise ValueError("surrogates collide under every epoch of the key")
-    return docs.select(*[put_back(F.col(f"`{c}`"), key, epoch).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(*[put_back(F.col(f"`{c}`"), key).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
-def put_back(text: Column, key: str, epoch: int) -> Column:
+def put_back(text: Column, key: str) -> Column:
     text = text.cast("string")
     pieces = F.arrays_zip(F.split(text, ANY, -1).alias("gap"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("m"))
-    whole = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(surrogate(kind_of(p["m"]), p["m"], key, epoch), F.lit("")))), "")
+    whole = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(surrogate(kind_of(p["m"]), p["m"], key), F.lit("")))), "")
     return F.when(text.rlike(HINT) & text.rlike(ANY), whole).otherwise(text)
 
 
