@@ -4,7 +4,7 @@ Sources by code point, null last, weigh WEIGHTS in turn and share TOTAL of all w
 its source's size, and what is above is shared again by weight. The mix is a sequence of SLOTS slots of about equally
 many words. Slot i has the golden-ratio point frac((i + 1/2) * phi), which the cumulative shares of the targets map to a
 source; the r-th slot of a source takes the r-th block of that source's documents in shuffled order, around the end.
-The slots of a source, one at least, share its target equally, so each source gives its target, however small, exactly.
+Only the amounts are put out, no order of the slots. The slots of a source, one at least, share its target equally, so each source gives its target, however small, exactly.
 A block boundary may cut a document, and the mix then takes a part of it.
 
 Null and empty texts have size 0, and nothing of them is taken; without any words all targets are 0. Repeated rows are
