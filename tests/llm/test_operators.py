@@ -208,6 +208,17 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_components_of_long_lines_and_hubs(spark):
+    from typeloom.llm.components import components
+
+    rng = random.Random(3)
+    names = rng.sample(range(10_000), 701)
+    line = list(zip(names, names[1:]))
+    hub = [(20_000, 20_001 + k) for k in range(500)] + [(20_500, 30_000 + k) for k in range(300)]
+    got = {r["node"]: r["root"] for r in components(spark, spark.createDataFrame(line + hub, "u bigint, v bigint"), hub=50).collect()}
+    assert got == dict.fromkeys(names, min(names)) | dict.fromkeys([x for p in hub for x in p], 20_000)
+
+
 # 7 mixing
 def test_mixing(spark, odd, empty):
     from typeloom.llm.mixing import mix, mixture
@@ -244,11 +255,66 @@ def test_mixing_small_sources(spark):
 
     rows = [(k, "w " * 100, "big") for k in range(200)] + [(1000 + k, "w " * (k + 1), f"small{k}") for k in range(6)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    taken = {r["doc_id"]: r["taken"] for r in mix(docs, slots=16).collect()}
+    taken = {r["doc_id"]: r["taken"] for r in mix(docs, block=1300).collect()}
     assert [taken[1000 + k] for k in range(6)] == [2 * (k + 1) for k in range(6)]
     assert abs(sum(taken.values()) - 1.5 * (20_000 + 21)) <= 1
 
 
+def test_mixing_of_unlike_sources(spark, monkeypatch):
+    """Sources of 10^12 and of 200,000 words: each target is met, over one range of sources and over several."""
+    from typeloom.llm import mixing
+
+    rows = [("huge", 10**12, 1), (None, 5, 1)] + [(f"s{k}", 200_000, 1) for k in range(7)]
+    sizes = spark.createDataFrame(rows, "source string, source_size long, rows long")
+    for most in (mixing.RANGE_ROWS, 3):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", most)
+        plan, bits = mixing.planned(sizes, block=1 << 22)
+        by = {r["source"]: r for r in plan.collect()}
+        assert [by[s]["sid"] for s in ("huge", "s0", "s6", None)] == [0, 1, 7, 8]
+        assert by[None]["take"] == 10 and all(by[f"s{k}"]["take"] == 400_000 for k in range(7))
+        assert abs(sum(r["target"] for r in by.values()) - 1.5 * (10**12 + 1_400_005)) < 1
+        slots = mixing.ranked_slots(plan, bits).groupBy("sid").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.max("rank").alias("m")).collect()
+        assert len(slots) == 9 and all(r["n"] == r["d"] == r["m"] + 1 for r in slots)
+
+
+def test_mixing_schedule_is_brute_force(spark):
+    """The slots' sources, ranks and blocks by plain loops over the van der Corput points."""
+    from typeloom.llm.mixing import schedule
+
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.randrange(1, 60), "abc"[k % 3] if k % 7 else None) for k in range(300)]
+    got = schedule(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), block=64).collect()
+    sizes = {k: len(t.split()) for k, t, _ in rows}
+    takes = Counter()
+    for r in got:
+        takes[r["source"]] += r["words"]
+    order = sorted((s for s in takes if s), key=str) + [None]
+    total = sum(takes.values())
+    bits = max(0, (-(-total // 64) - 1).bit_length())
+    ranks, want, low = Counter(), {}, 0
+    ends = []
+    for s in order:
+        low += takes[s]
+        ends.append(low / total)
+    for slot in range(1 << bits):
+        point = int(f"{slot:0{bits}b}"[::-1], 2) / (1 << bits)
+        s = order[next(k for k, e in enumerate(ends) if point < e)]
+        want[slot] = (s, ranks[s])
+        ranks[s] += 1
+    assert {(r["slot"], r["source"], r["rank"]) for r in got} == {(k, *v) for k, v in want.items()}
+    words = Counter()
+    for r in got:
+        words[r["slot"]] += r["words"]
+        assert 0 <= r["begin"] and r["begin"] + r["words"] <= sizes[r["doc_id"]]
+    assert all(abs(n - takes[want[k][0]] / ranks[want[k][0]]) < 1 for k, n in words.items())
+    # the pieces of a source follow each other without a gap
+    for s in order:
+        at = 0
+        for r in sorted((r for r in got if r["source"] == s), key=lambda r: (r["rank"], r["at"])):
+            assert r["at"] == at
+            at += r["words"]
+
+
 def test_mixture_keeps_rows_without_id(spark):
     from typeloom.llm.mixing import mixture
 

@@ -21,22 +21,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); in tests, where it is unset, one under /tmp."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, one under /tmp if the executors are threads of
+    this machine, else RuntimeError: a folder of one machine would lose tables with it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
-    return at
+    return at.rstrip("/")
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, under one of this application's own."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: cuts lineage and survives lost executors."""
-    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, reread: cuts lineage and survives lost executors. The table stays
+    until discard() or clean(), since results that are not yet computed may read it."""
+    at = place(spark, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def removed(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/"
+    for at in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        if own.split(":")[-1].strip("/") in at:
+            removed(spark, at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; for the end of a job, when its results are stored."""
+    removed(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+#: Rows of a table that may be broadcast (its rows are short: a few dozen bytes).
+BROADCAST_ROWS = 200_000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, order: str, salts: int = 64, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined null-safely with groups (one row for each value of the group column `key`): groups are broadcast if they are
+    counted to be few; else each group goes to `salts` places, among which the rows of a hot one are dealt by `order`."""
+    groups = groups.withColumnRenamed(key, "_group")
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), F.col(key).eqNullSafe(F.col("_group"))).drop("_group")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    spread = groups.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(spread, F.col(key).eqNullSafe(F.col("_group")) & (F.col("_salt") == F.col("_to"))).drop("_group", "_salt", "_to")
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """crc32 of the key as text, modulo parts: the contracts' split into learned and held-out rows."""
     key = F.col(key) if isinstance(key, str) else key
@@ -50,8 +92,8 @@ def sampled(df: DataFrame, key: str, most: int, per: str | None = None) -> DataF
     if per is None:
         n = df.agg(F.count("*").alias("n")).collect()[0]["n"]
         return df.where(u < most / max(1, n))
-    counts = df.groupBy(F.col(per).alias("_per")).agg(F.count("*").alias("_n"))
-    return df.join(F.broadcast(counts.orderBy(F.desc("_n"), "_per").limit(1000)), F.col(per) == F.col("_per")).where(u < most / F.col("_n")).drop("_per", "_n")
+    counts = df.groupBy(per).agg(F.count("*").alias("_n"))
+    return with_group(df, counts, per, key).where(u < most / F.col("_n")).drop("_n")
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str) -> DataFrame:
