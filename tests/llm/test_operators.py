@@ -355,6 +355,71 @@ def test_hamming_and_ann_odd(spark):
     assert ann.nearest(nothing, F.lit(True)).count() == 0 and hamming.nearest(hamming.sign_codes(nothing), F.lit(True)).count() == 0
 
 
+def test_searches_with_repeated_rows(spark):
+    """Ids that repeat, with the same vector or others, are asked and listed once; equal to brute force."""
+    from typeloom.llm import ann, hamming
+
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(60)]
+    rows += rows[:40] + [(5, rows[20][1]), (7, rng.normal(size=8).tolist()), (40, [9.0] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    ask = {q: min(v for i, v in rows if i == q) for q in (0, 20, 40)}
+
+    def brute(nearness):
+        out = {}
+        for q, v in ask.items():
+            of = {}
+            for i, x in rows:
+                if i != q:
+                    of[i] = min(of.get(i, np.inf), nearness(np.array(v), np.array(x)))
+            out[q] = sorted((round(d, 9), i) for i, d in of.items())[:20]
+        return out
+
+    got = {q: [] for q in ask}
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0).orderBy("rank").collect():
+        got[r["query_id"]].append((round(-r["score"], 9), r["vec_id"]))
+    assert got == brute(lambda a, b: -float(np.einsum("i,i", a, b)))
+    code = {tuple(v): np.packbits(np.pad(np.array(v) > 0, (0, 8))).tobytes() for _, v in rows}
+    ask = {q: min((v for i, v in rows if i == q), key=lambda v: code[tuple(v)]) for q in ask}
+    got = {q: [] for q in ask}
+    for r in hamming.nearest(hamming.sign_codes(frame), F.col("vec_id") % 20 == 0).orderBy("rank").collect():
+        got[r["query_id"]].append((r["distance"], r["vec_id"]))
+    assert got == brute(lambda a, b: int(((a > 0) != (b > 0)).sum()))
+
+
+def test_hamming_over_parts(spark, monkeypatch):
+    """Several parts, and blocks of queries, give what one gives."""
+    from typeloom.llm import hamming
+
+    rng = np.random.default_rng(7)
+    frame = spark.createDataFrame([(k, rng.normal(size=24).tolist()) for k in range(400)], "vec_id bigint, embedding array<double>")
+    run = lambda: sorted(tuple(r) for r in hamming.nearest(hamming.sign_codes(frame), F.col("vec_id") % 20 == 0).collect())
+    one = run()
+    monkeypatch.setattr(hamming, "LEAST_ROWS", 32)
+    monkeypatch.setattr(hamming, "QUERY_BLOCK", 7)
+    assert run() == one and len(one) == 400
+
+
+def test_ann_on_clusters(spark, monkeypatch):
+    """On clustered vectors a tenth of the entries at most is listed, over several parts."""
+    from typeloom.llm import ann
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 16)) * 3
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(ann, "ENOUGH", 100)
+    monkeypatch.setattr(ann, "LEAST_ROWS", 1500)
+    index = ann.Index(x, len(x), 20)
+    assert index.share <= 0.1
+    found = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 200 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(set([j for j in np.argsort(-(x @ x[q])) if j != q][:20]) & found[q]) for q in range(0, 6000, 200))
+    assert hits / 600 >= 0.9
+
+
 def test_ann_recall(spark):
     from typeloom.llm.ann import nearest
 

@@ -1,14 +1,20 @@
 """Approximate nearest neighbours by largest inner product: an inverted multi-index.
 
-Two codebooks of CENTROIDS are fitted (k-means) to the halves of at most about FITTED vectors; every vector is put in the
-cell of its two nearest centroids. A query walks the pairs of centroids in order of their summed nearness, with a heap
-over the two sorted lists, until the cells that it has passed hold LISTED of all vectors and ENOUGH vectors at least;
-the entries of these cells are ranked again by the inner product of the original vectors in double precision.
+Two codebooks are fitted (k-means) to the halves of at most about FITTED vectors, with about the square root of the number
+of vectors in centroids, MOST_CENTROIDS at most; every vector is put in the cell of its two nearest centroids. A query walks
+the pairs of centroids in order of their summed nearness, with a heap over the rows of pairs, until the cells that it has
+passed hold a share of all vectors, and ENOUGH vectors at least. Only entries of these cells are scored: by the inner product
+of the original vectors in double precision. The share is measured at fitting: the least within which the walks of PROBES
+sampled vectors pass TARGET of their true k nearest in the sample. It is small where the vectors have clusters and large
+where they have none.
+
+Cells are dealt into parts, a cell larger than a part over several; a query goes to the parts of its cells only.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, neither as
 queries nor as candidates. Equal vectors are indexed once, with their k + 1 smallest ids, so a vector that a third of all
-rows share is one entry; each query's own row is left out. With fewer candidates than k all are returned. A row whose
-vec_id is null or repeated: null takes no part, repeated ones count once for each distinct vector. Extra columns are ignored.
+rows share is one entry; each query's own id is left out. With fewer candidates than k all are returned. A row without
+vec_id takes no part; a vec_id that repeats is one candidate, by its nearest vector, and one query, with its smallest vector.
+Extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, written
-from .vectors import PART_ROWS, QUERY_BLOCK, best, distinct_values, flat, lists, searched, top
+from .common import fitted_in_task, sampled, written
+from .vectors import best, distinct_values, flat, lists, named, part_rows, searched, top
 
-CENTROIDS, FITTED, ROUNDS = 32, 20_000, 12
-#: The share of all vectors, and the number at least, whose cells a query walks through.
-LISTED, ENOUGH = 0.6, 2_000
-#: Products worked out at once, and entries scored again beyond k.
-AT_ONCE, SPARE = 64, 8
+MOST_CENTROIDS, FITTED, ROUNDS = 1024, 20_000, 12
+#: Vectors at least whose cells a query walks through; recall that the share is measured for, and on how many probes.
+ENOUGH, TARGET, PROBES = 2_000, 0.96, 128
+#: Entries of a part, from and to; queries of one task; queries sent on at once.
+LEAST_ROWS, PART_ROWS, QUERY_BLOCK, AT_ONCE = 8192, 1 << 16, 1 << 16, 32
 
 
 def usable(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, int]:
@@ -41,67 +47,110 @@ def usable(table: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return rows.where(F.size("v") == width), width
 
 
+def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    own = (c * c).sum(1)[None]
+    return np.concatenate([np.argmin(own - 2 * x[k : k + 4096] @ c.T, 1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+
+
 def k_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(ROUNDS):
-        near = np.argmin((c * c).sum(1)[None] - 2 * x @ c.T, 1)
-        total, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
-        np.add.at(total, near, x)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        near = nearest_centroid(x, c)
+        order = np.argsort(near, kind="stable")
+        at, first = np.unique(near[order], return_index=True)
+        c[at] = np.add.reduceat(x[order], first) / np.diff([*first, len(x)])[:, None]
     return c
 
 
 class Index:
     """Two codebooks; the halves of a vector are its first and its remaining components."""
 
-    def __init__(self, sample: np.ndarray):
+    def __init__(self, sample: np.ndarray, total: int, k: int):
+        """sample: of `total` vectors. k: neighbours for which the share is measured."""
         self.cut = max(1, sample.shape[1] // 2)
-        k = min(CENTROIDS, len(sample))
-        self.first, self.second = k_means(sample[:, : self.cut], k, 1), k_means(sample[:, self.cut :], k, 2)
-        self.counts = np.zeros((k, k), np.int64)
+        wide = max(1, min(1 << int(np.log2(max(1, total)) / 2), MOST_CENTROIDS, len(sample)))
+        self.first, self.second = k_means(sample[:, : self.cut], wide, 1), k_means(sample[:, self.cut :], wide, 2)
+        self.share = self.measured(sample, k)
+
+    def measured(self, sample: np.ndarray, k: int) -> float:
+        """The share of entries that walks pass before TARGET of the true neighbours."""
+        i, j = self.halves(sample)
+        places = []
+        for p in range(0, len(sample), max(1, len(sample) // PROBES)):
+            q = sample[p]
+            score = sample @ q
+            score[p] = -np.inf
+            near = np.argpartition(-score, min(k, len(score) - 1))[:k]
+            summed = (self.first @ q[: self.cut])[i] + (self.second @ q[self.cut :])[j]
+            ranked = np.sort(summed)
+            places += ((len(summed) - np.searchsorted(ranked, summed[near], side="left")) / len(summed)).tolist()
+        return float(np.quantile(places, TARGET))
+
+    def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return nearest_centroid(x[:, : self.cut], self.first), nearest_centroid(x[:, self.cut :], self.second)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        i = np.argmin((self.first**2).sum(1)[None] - 2 * x[:, : self.cut] @ self.first.T, 1)
-        j = np.argmin((self.second**2).sum(1)[None] - 2 * x[:, self.cut :] @ self.second.T, 1)
-        return i * self.counts.shape[1] + j
-
-    def walk(self, q: np.ndarray, enough: int) -> list[int]:
-        """The cells that hold something, nearest pair first, until they hold `enough`."""
-        a, b = self.first @ q[: self.cut], self.second @ q[self.cut :]
-        ia, ib = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-        a, b = (-a[ia]).tolist(), (-b[ib]).tolist()
-        heap, seen, out, held, wide = [(a[0] + b[0], 0, 0)], {(0, 0)}, [], 0, self.counts.shape[1]
+        i, j = self.halves(x)
+        return i * len(self.second) + j
+
+    def dealt(self, counts: np.ndarray, rows: int) -> None:
+        """counts: entries of each cell. Cells stand in line and are cut into parts of `rows` entries."""
+        self.counts = counts.reshape(len(self.first), len(self.second))
+        end = np.cumsum(counts)
+        self.low, self.high = ((end - counts) // rows).astype(np.int64), np.maximum(end - 1, 0) // rows
+        self.parts = int(-(-end[-1] // rows))
+
+    def part(self, cell: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The part of each entry: one of its cell's, by a hash of its id."""
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.low[cell] + (mixed % (self.high[cell] - self.low[cell] + 1).astype(np.uint64)).astype(np.int64)
+
+    def walk(self, q: np.ndarray, enough: int) -> np.ndarray:
+        """The cells that hold something, nearest pair first, until they hold `enough`. The heap has the next pair of each
+        row of pairs that has been entered; a row is entered when the one before it is."""
+        a, b = -(self.first @ q[: self.cut]), -(self.second @ q[self.cut :])
+        ia, ib = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        a, b = a[ia].tolist(), b[ib].tolist()
+        held_in = self.counts[ia][:, ib].tolist()
+        rows, columns, at, held = [], [], [0] * len(a), 0
+        heap, last = [(a[0] + b[0], 0)], len(b)
         while heap and held < enough:
-            _, i, j = heapq.heappop(heap)
-            n = int(self.counts[ia[i], ib[j]])
-            if n:
-                out.append(int(ia[i]) * wide + int(ib[j]))
+            i = heap[0][1]
+            j = at[i]
+            if n := held_in[i][j]:
+                rows.append(i)
+                columns.append(j)
                 held += n
-            for x, y in ((i + 1, j), (i, j + 1)):
-                if x < len(a) and y < len(b) and (x, y) not in seen:
-                    seen.add((x, y))
-                    heapq.heappush(heap, (a[x] + b[y], x, y))
-        return out
-
-
-def fitted(vectors: DataFrame, width: int) -> Index | None:
-    """The codebooks, from a bounded sample, and the number of vectors in each cell (at most CENTROIDS^2 numbers)."""
+            at[i] = j + 1
+            if j + 1 < last:
+                heapq.heapreplace(heap, (a[i] + b[j + 1], i))
+            else:
+                heapq.heappop(heap)
+            if j == 0 and i + 1 < len(a):
+                heapq.heappush(heap, (a[i + 1] + b[0], i + 1))
+        return ia[rows] * last + ib[columns]
+
+
+def fitted(vectors: DataFrame, width: int, total: int, k: int) -> Index | None:
+    """The codebooks, from a bounded sample, fitted in one task; and the number of vectors in each cell (at most
+    MOST_CENTROIDS^2 numbers)."""
     spark = vectors.sparkSession
-    sample = sampled(vectors.select("v", F.element_at("ids", 1).alias("id")), "id", FITTED).toArrow().sort_by("id")
-    if not sample.num_rows:
+    sample = sampled(vectors.select("v", F.element_at("ids", 1).alias("id")), "id", FITTED)
+    index = fitted_in_task(sample, "id", lambda t: Index(flat(t, "v", width, np.float64), total, k) if t is not None and t.num_rows else None)
+    if index is None:
         return None
-    index = Index(flat(sample, "v", width, np.float64))
     shared = spark.sparkContext.broadcast(index)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.bincount(shared.value.cells(flat(pa.Table.from_batches([batch]), "v", width, np.float64)))
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["cell", "n"])
+            at, n = np.unique(shared.value.cells(flat(pa.Table.from_batches([batch]), "v", width, np.float64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
-    for cell, n in vectors.select("v").mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        index.counts.flat[cell] = n
+    counts = np.zeros(len(index.first) * len(index.second), np.int64)
+    found = vectors.select("v").mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    index.dealt(counts, part_rows(total, LEAST_ROWS, PART_ROWS))
     return index
 
 
@@ -110,52 +159,73 @@ def nearest(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     spark = table.sparkSession
     rows, width = usable(table)
     vectors = written(spark, distinct_values(rows, "v", "array<double>", k), "vectors")
-    index = fitted(vectors, width) if width else None
+    total = vectors.count()
+    index = fitted(vectors, width, total, k) if total else None
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    total = int(index.counts.sum())
-    enough, parts = max(ENOUGH, int(LISTED * total)), -(-total // PART_ROWS)
+    enough = max(ENOUGH, int(np.ceil(index.share * total)))
     shared = spark.sparkContext.broadcast(index)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = shared.value.cells(flat(pa.Table.from_batches([batch]), "v", width, np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=["v", "ids", "cell"])
+            t = pa.Table.from_batches([batch])
+            cell, (starts, ids) = shared.value.cells(flat(t, "v", width, np.float64)), lists(t, "ids")
+            part = shared.value.part(cell, ids[starts[:-1]]) if len(cell) else cell
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), pa.array(part, pa.int64())], names=["v", "ids", "cell", "part"])
 
-    # a cell's entries go to the parts in turn if they are more than a part holds; else the cell is in one part
-    stored = vectors.select("v", "ids").mapInArrow(put, "v array<double>, ids array<bigint>, cell bigint")
-    stored = stored.withColumn("part", F.pmod(F.xxhash64("cell", F.pmod(F.element_at("ids", 1), F.lit(1 if parts == 1 else parts))), F.lit(parts)))
+    stored = vectors.select("v", "ids").mapInArrow(put, "v array<double>, ids array<bigint>, cell bigint, part bigint")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part that a query's walk comes to, with the cells that it passes there."""
+        own = shared.value
         for batch in batches:
             q = flat(pa.Table.from_batches([batch]), "v", width, np.float64)
-            walks = [shared.value.walk(x, enough) for x in q]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(walks, pa.list_(pa.int64()))], names=["query_id", "v", "walk"])
-
-    asked = rows.where(queries).selectExpr("vec_id query_id", "v").mapInArrow(ask, "query_id bigint, v array<double>, walk array<bigint>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(max(1, total // 20)) / QUERY_BLOCK))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def work(asks: pa.Table, held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, cell = flat(held, "v", width, np.float64), held.column("cell").to_numpy()
+            for k0 in range(0, len(q), AT_ONCE):
+                whose, parts, walks = [], [], []
+                for row in range(k0, min(len(q), k0 + AT_ONCE)):
+                    walk = own.walk(q[row], enough)
+                    times = own.high[walk] - own.low[walk] + 1
+                    cell = np.repeat(walk, times)
+                    part = own.low[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+                    order = np.argsort(part, kind="stable")
+                    at, first = np.unique(part[order], return_index=True)
+                    whose += [row] * len(at)
+                    parts += at.tolist()
+                    walks += np.split(cell[order], first[1:])
+                sent = batch.take(pa.array(whose, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(walks, pa.list_(pa.int64())), pa.array(parts, pa.int64())], names=["query_id", "v", "walk", "part"])
+
+    asked = rows.where(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    asked = asked.mapInArrow(ask, "query_id bigint, v array<double>, walk array<bigint>, part bigint")
+
+    def prepare(held: pa.Table) -> tuple:
+        held = held.sort_by("cell")
+        cell = held.column("cell").to_numpy()
         starts, every = lists(held, "ids")
-        least = every[starts[:-1]] if len(x) else every
-        out_q, out_v, out_s = [], [], []
-        q, walks, owns = flat(asks, "v", width, np.float64), asks.column("walk").to_pylist(), asks.column("query_id").to_pylist()
-        for k0 in range(0, len(q) if len(x) else 0, AT_ONCE):
-            block = q[k0 : k0 + AT_ONCE] @ x.T
-            for own, qv, walk, score in zip(owns[k0:], q[k0:], walks[k0:], block):
-                passed = np.zeros(index.counts.size, bool)
-                passed[walk] = True
-                entries = np.flatnonzero(passed[cell])
-                if not len(entries):
-                    continue
-                entries = entries[top(score[entries], least[entries], k + 1 + SPARE)]
-                exact = np.einsum("ij,j->i", x[entries], qv)
-                names = [(s, i) for s, p in zip(exact.tolist(), entries) for i in every[starts[p] : starts[p + 1]].tolist() if i != own]
-                names = sorted(names, key=lambda n: (-n[0], n[1]))[:k]
-                out_q += [own] * len(names)
-                out_v += [i for _, i in names]
-                out_s += [s for s, _ in names]
-        return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_s, float)
-
-    return best(searched(asked, stored, work, "score"), k, "score", True)
+        kinds, first = np.unique(cell, return_index=True)
+        return flat(held, "v", width, np.float64), kinds, np.append(first, len(cell)), starts, every, every[starts[:-1]]
+
+    def answer(state: tuple, asks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, kinds, first, starts, every, least = state
+        out = []
+        (at, walks), q = lists(asks, "walk"), flat(asks, "v", width, np.float64)
+        for row, own in enumerate(asks.column("query_id").to_pylist()):
+            walk = walks[at[row] : at[row + 1]]
+            place = np.minimum(np.searchsorted(kinds, walk), len(kinds) - 1)
+            place = place[kinds[place] == walk]
+            n = first[place + 1] - first[place]
+            entries = np.repeat(first[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            if not len(entries):
+                continue
+            score, want = np.einsum("ij,j->i", x[entries], q[row]), k + 1
+            while True:
+                order = top(score, least[entries], want)
+                names = named(entries[order], score[order], starts, every, own)
+                if len(names) >= k or want >= len(entries):
+                    break
+                want *= 2
+            out += [(own, i, s) for s, i in sorted(names, key=lambda x: (-x[0], x[1]))[:k]]
+        a, b, c = zip(*out) if out else ((), (), ())
+        return np.array(a, np.int64), np.array(b, np.int64), np.array(c, float)
+
+    return best(searched(asked, stored, prepare, answer, "score", QUERY_BLOCK), k, "score", True)

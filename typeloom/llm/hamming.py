@@ -7,8 +7,12 @@ look-up is further in all. When the k-th verified distance is covered by that, t
 ties to the smaller id.
 
 Binary codes of vectors are the signs of their components (1: above 0). Vectors that are null, hold a null component or
-have another length than most take no part. Equal codes are searched once, with their k + 1 smallest ids; a query's own row
-is left out. With fewer candidates than k all are returned. Extra columns are ignored, an empty table gives no rows.
+have another length than most take no part. Equal codes are searched once, with their k + 1 smallest ids; a query's own id is
+left out. With fewer candidates than k all are returned. A vec_id that repeats is one candidate, at its nearest code, and one
+query, with its smallest code. Extra columns are ignored, an empty table gives no rows.
+
+Codes are dealt into parts of an eighth of all, PART_ROWS at most; a part's tables are built once, and every query looks into
+every part (its codes go out once for each part, 8 bytes and the ids of a row go out once). The search is exact in each part.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import PART_ROWS, QUERY_BLOCK, best, distinct_values, flat, lists, searched
+from .vectors import best, distinct_values, flat, lists, named, part_rows, searched
 
 SEGMENT = 16
+#: Codes of a part, from and to, and queries of one task.
+LEAST_ROWS, PART_ROWS, QUERY_BLOCK = 8192, 1 << 20, 1 << 20
 
 
 def sign_codes(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -90,27 +96,34 @@ def nearest(codes: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     spark = codes.sparkSession
     stored = written(spark, distinct_values(codes, "code", "binary", k), "codes")
     total = stored.count()
-    parts = max(1, -(-total // PART_ROWS))
+    parts = max(1, -(-total // part_rows(total, LEAST_ROWS, PART_ROWS)))
     rows = stored.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("long"))
-    asked = codes.where(queries).selectExpr("vec_id query_id", "code").withColumn("block", F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(max(1, total // 20)) / QUERY_BLOCK)).cast("long"))
+    asked = codes.where(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("code").alias("code"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def segments(t: pa.Table) -> np.ndarray:
         raw = t.column("code").to_pylist()
-        return np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1) if raw else np.zeros((0, 1), np.uint16)
+        return np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1)
+
+    def prepare(held: pa.Table) -> tuple:
+        return Index(segments(held)), *lists(held, "ids")
 
-    def work(asks: pa.Table, held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out: list[tuple[int, int, int]] = []
-        index, (starts, every) = Index(segments(held)), lists(held, "ids")
-        need = np.diff(starts)
+    def answer(state: tuple, asks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        index, starts, every = state
+        need, out = np.diff(starts), []
         for own, q in zip(asks.column("query_id").to_pylist(), segments(asks)):
-            if not len(need):
-                break
-            # the query's own row may be among them, hence one more
-            at, far = index.search(q, need, k + 1)
-            names = [(d, i) for p, d in zip(at.tolist(), far.tolist()) for i in every[starts[p] : starts[p + 1]].tolist() if i != own]
+            # the query's own id may be among them, and an id may have several codes
+            want = k + 1
+            while True:
+                at, far = index.search(q, need, want)
+                order = np.argsort(far, kind="stable")
+                names = named(at[order], far[order], starts, every, own)
+                if len(names) >= k or len(at) == len(need):
+                    break
+                want *= 2
             out += [(own, i, d) for d, i in sorted(names)[:k]]
         q, v, d = zip(*out) if out else ((), (), ())
         return np.array(q, np.int64), np.array(v, np.int64), np.array(d, float)
 
-    return best(searched(asked, rows, work, "distance"), k, "distance", False).withColumn("distance", F.col("distance").cast("int"))
+    found = searched(asked, rows, prepare, answer, "distance", QUERY_BLOCK)
+    return best(found, k, "distance", False).withColumn("distance", F.col("distance").cast("int"))

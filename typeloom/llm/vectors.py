@@ -1,8 +1,8 @@
-"""Blocks for searches of a stated query set against all rows.
+"""Searches of a stated query set against all rows, part by part.
 
-Rows are dealt into parts, queries into blocks; a query block meets each part that it asks for in one task, which
-returns at most k rows for each query, and the best k of each query are kept by an aggregate. Nothing grows with the
-product of both tables but the number of tasks."""
+Rows are dealt into parts. Each query goes to the parts that it asks for; a part is held and indexed once in a task, and its
+queries stream past it. Only a part with more than a block of queries is held in several tasks, so copies of rows never
+outweigh the queries that they spare moving. At most k rows of a query leave a part, and the best k of all parts are kept."""
 
 from __future__ import annotations
 
@@ -13,52 +13,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block, and rows of a part, about.
-QUERY_BLOCK, PART_ROWS = 1024, 1 << 16
+from .common import with_group, written
 
+#: Most tasks of a search.
+TASKS = 10_000
 
-def searched(asked: DataFrame, rows: DataFrame, work: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], measure: str) -> DataFrame:
-    """query_id, vec_id, score: work(queries, rows) of each group of asked(part, block, ...) with rows(part, ...).
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    rows go once to each query block of their part. Both sides are dealt by (part, block) and read in order: of each
-    group first the rows and then the queries."""
-    blocks = asked.select("part", "block").distinct()
-    dealt = rows.join(blocks, "part").withColumn("is_query", F.lit(False)).unionByName(asked.withColumn("is_query", F.lit(True)), allowMissingColumns=True)
-    dealt = dealt.select("part", "block", "is_query", *[c for c in dealt.columns if c not in ("part", "block", "is_query")])
-    dealt = dealt.repartition("part", "block").sortWithinPartitions("part", "block", "is_query")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+def part_rows(total: int, least: int, most: int) -> int:
+    """Rows of a part: an eighth of all, within bounds, so that small tables are dealt over tasks too."""
+    return max(least, min(most, -(-total // 8)))
 
-        def done() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            is_query = t.column("is_query")
-            q, v, s = work(t.filter(is_query), t.filter(pa.compute.invert(is_query)))
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", measure])
 
+def searched(asked: DataFrame, rows: DataFrame, prepare: Callable[[pa.Table], object], answer: Callable[[object, pa.Table], Found], measure: str, block: int) -> DataFrame:
+    """query_id, vec_id, measure: answer(prepare(the part's rows), some of its queries) over asked(part, query_id, ..) and
+    rows(part, ..). block: queries of a part beyond which its rows are held by one more task. Both sides are dealt by part and
+    block and read in order: of each group first the rows and then the queries."""
+    spark = rows.sparkSession
+    asked = written(spark, asked, "asked")
+    blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    blocks = written(spark, blocks, "blocks")
+    groups = blocks.agg(F.sum("blocks")).collect()[0][0] or 0
+    of_rows = with_group(rows, blocks, "part", "part").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    of_queries = with_group(asked, blocks, "part", "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+    dealt = of_rows.drop("blocks").withColumn("is_query", F.lit(False)).unionByName(of_queries.drop("blocks").withColumn("is_query", F.lit(True)), allowMissingColumns=True)
+    dealt = dealt.select("part", "block", "is_query", *[c for c in dealt.columns if c not in ("part", "block", "is_query")])
+    # a number is given, so that parts that are small in bytes but not in work stay apart
+    dealt = dealt.repartition(max(1, min(TASKS, 3 * groups)), "part", "block").sortWithinPartitions("part", "block", "is_query")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, state = None, [], None
         for batch in batches:
-            part, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0)) + 1
+            part, block, is_query = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if b > a:
-                    now = (part[a], block[a])
-                    if now != key and held:
-                        yield done()
-                        held = []
-                    key = now
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield done()
-
-    import pyarrow.compute  # noqa: F401  the workers use it as pa.compute
+                if b <= a:
+                    continue
+                if (now := (part[a], block[a])) != key:
+                    key, held, state = now, [], None
+                piece = batch.slice(a, b - a)
+                if not is_query[a]:
+                    held.append(piece)
+                elif held or state is not None:
+                    if state is None:
+                        state, held = prepare(pa.Table.from_batches(held)), []
+                    q, v, s = answer(state, pa.Table.from_batches([piece]))
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", measure])
 
     return dealt.mapInArrow(run, f"query_id bigint, vec_id bigint, {measure} double")
 
 
 def best(found: DataFrame, k: int, measure: str, largest: bool) -> DataFrame:
-    """query_id, rank, vec_id, measure: each query's k best, ties to the smaller vec_id. A part gives k rows at most."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(measure) if largest else F.asc(measure), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", measure)
+    """query_id, rank, vec_id, measure: each query's k best, ties to the smaller vec_id, each vec_id once. A part gives k
+    rows of a query at most."""
+    by = F.desc(measure) if largest else F.asc(measure)
+    once = found.repartition("query_id").withColumn("_one", F.row_number().over(Window.partitionBy("query_id", "vec_id").orderBy(by))).where("_one = 1")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(by, "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", measure)
+
+
+def named(order: np.ndarray, value: np.ndarray, starts: np.ndarray, ids: np.ndarray, own: int) -> list[tuple[float, int]]:
+    """(value, id) of the ids of entries `order`, nearest first; not `own`, each id once, by its nearest entry."""
+    out: dict[int, float] = {}
+    for p, x in zip(order.tolist(), value.tolist()):
+        for i in ids[starts[p] : starts[p + 1]].tolist():
+            if i != own:
+                out.setdefault(i, x)
+    return [(x, i) for i, x in out.items()]
 
 
 def distinct_values(rows: DataFrame, column: str, kind: str, k: int) -> DataFrame:
