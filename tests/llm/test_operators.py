@@ -146,6 +146,70 @@ def test_langid(spark, odd, empty):
     assert identify(empty).count() == 0
 
 
+def test_langid_from_single_sentences(spark):
+    """One text in each language, every word once; numerals are no letters."""
+    from typeloom.llm.langid import identify
+
+    said = {"en": "the weather is lovely this morning", "de": "das Wetter ist heute sehr schön", "fr": "il fait très beau ce matin", "es": "hace muy buen tiempo hoy", "it": "oggi splende il sole ovunque", "nl": "vandaag schijnt de zon volop"}
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(ids[k], t, lang) for k, (lang, t) in enumerate(said.items())] + [(200 + k, t, None) for k, t in enumerate(["² ½ Ⅷ 12", "sehr schön heute", "très beau", "x² lovely weather", "tiempo 1/2"])]
+    out = {r["doc_id"]: r["lang_pred"] for r in identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert [out[ids[k]] for k in range(6)] == list(said) and [out[200 + k] for k in range(5)] == ["und", "de", "fr", "en", "es"]
+
+
+def test_langid_is_brute_force(spark):
+    """Predictions and scores by plain sums over counted words and n-grams."""
+    from math import exp, log
+
+    from typeloom.llm.langid import GRAMS, WORDS, Model, identify
+
+    docs = documents(spark).limit(400)
+    counts = {}
+    rows = docs.collect()
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts.setdefault(r["lang"], Counter()).update(words(r["text"] or ""))
+    assert max(map(len, counts.values())) <= WORDS
+
+    def tables(of):
+        keys = {g for c in of.values() for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:GRAMS]}
+        return {g: {x: log((c[g] + 0.1) / (sum(c.values()) + 0.1 * (1 + len(keys)))) for x, c in of.items()} for g in keys}
+
+    known, grams = tables(counts), {}
+    for n in range(1, 6):
+        of = {x: Counter() for x in counts}
+        for x, c in counts.items():
+            for w, k in c.items():
+                for g in list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]:
+                    of[x][g] += k
+        grams[n] = tables(of)
+
+    def logs(w):
+        if w in known:
+            return known[w]
+        for n in range(5, 0, -1):
+            seen = [grams[n][g] for g in (list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]) if g in grams[n]]
+            if seen:
+                return {x: sum(s[x] for s in seen) / len(seen) for x in counts}
+        return dict.fromkeys(counts, 0.0)
+
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(docs).collect()}
+    for r in rows[::7]:
+        ws = words(r["text"] or "")
+        if not ws:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        total = {x: sum(logs(w)[x] for w in ws) for x in counts}
+        best = max(sorted(total), key=total.get)
+        score = 1 / sum(exp((total[x] - total[best]) / len(ws) ** 0.5) for x in total)
+        assert got[r["doc_id"]][0] == best and abs(got[r["doc_id"]][1] - score) < 1e-6
+    # many languages share the entries
+    coin = lambda k, j: "".join(chr(97 + x) for x in (k % 26, k // 26, j % 26, j // 26))
+    many = Model({f"l{k:02d}": [(coin(k, j), 2) for j in range(40)] for k in range(50)})
+    assert all(many.predict(f"{coin(k, 3)} {coin(k, 39)}")[0] == f"l{k:02d}" for k in range(50))
+
+
 # 6 near duplicates
 def brute(rows, words, percent):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})

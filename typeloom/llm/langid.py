@@ -3,6 +3,11 @@
 Each known word adds its log frequency in each language. An unseen word falls back to its 5-grams; if none of them is
 known, to 4-grams, and so on down to single characters. A text's language has the largest sum; the score is its
 share after a softmax of the sums, damped by the square root of the number of words. Ties go to the smaller language.
+A word is a run of letters (Unicode category L) in lower case.
+
+Learned are all languages, from about LEARNED_ROWS documents of each at most, words that occur once included. The model has at
+most WORDS words and GRAMS n-grams of each length for a language, and ENTRIES of all languages together: with many
+languages the most frequent of each, and one at least. Only the languages in which a word occurs have an entry for it.
 
 Null texts and texts without a letter get `und` and score 0, as do all texts when nothing could be learned.
 Whole texts are read; equal texts get equal results; extra columns are ignored.
@@ -18,14 +23,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, fold, map_arrow, sampled, texts
+from .common import doc_columns, fold, map_arrow, sampled, texts, written
 
-#: Learned from about so many documents of a language at most; words and n-grams kept of each language; longest n-gram.
+#: Learned from about so many documents of a language at most; words and n-grams kept of each language, and of all; longest n-gram.
 LEARNED_ROWS = 4_000
-WORDS, GRAMS, LONGEST = 30_000, 20_000, 5
-MEMORY = 300_000
+WORDS, GRAMS, ENTRIES, LONGEST = 30_000, 20_000, 1_000_000, 5
+#: Words that a worker remembers, and numbers that they may take.
+MEMORY, NUMBERS = 300_000, 20_000_000
 UNKNOWN = "und"
-letters = re.compile(r"[^\W\d_]+").findall
+runs = re.compile(r"[^\W\d_]+").findall
+
+
+def letters(text: str) -> list[str]:
+    """The runs of letters. The pattern's runs may hold numerals that are no letters, and are cut there."""
+    found = runs(text)
+    if text.isascii():
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 def words_of(text: str) -> Counter:
@@ -37,47 +51,61 @@ def grams_of(word: str, n: int) -> list[str]:
     return list(word) if n == 1 else [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
-class Model:
-    """Log frequencies of words and of n-grams of each length, one column for each language."""
+class Table:
+    """Log frequencies of words or n-grams. A row is the languages' logs of nothing, and more where there is something."""
+
+    def __init__(self, of: list[Counter], most: int):
+        kept = sorted({w for c in of for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]})
+        self.at = {w: k for k, w in enumerate(kept)}
+        totals = np.array([sum(c.values()) for c in of], float) + 0.1 * (1 + len(kept))
+        self.base = np.log(0.1 / totals) if len(of) else np.zeros(0)
+        found = [(self.at[w], k, n) for k, c in enumerate(of) for w, n in c.items() if w in self.at]
+        row, lang, n = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(row, kind="stable")
+        self.lang, self.more = lang[order].astype(np.int32), np.log((n[order] + 0.1) / 0.1)
+        self.starts = np.searchsorted(row[order], np.arange(len(kept) + 1))
 
+    def logs(self, w: str) -> np.ndarray | None:
+        at = self.at.get(w)
+        if at is None:
+            return None
+        a, b = self.starts[at], self.starts[at + 1]
+        out = self.base.copy()
+        out[self.lang[a:b]] += self.more[a:b]
+        return out
+
+
+class Model:
     def __init__(self, counts: dict[str, list[tuple[str, int]]]):
         """counts: of each language, the most frequent words with their counts."""
         self.langs = sorted(counts)
-        self.words = self.logs({lang: Counter(dict(c)) for lang, c in counts.items()}, WORDS)
+        share = max(1, ENTRIES // max(1, len(self.langs)))
+        self.words = Table([Counter(dict(counts[x])) for x in self.langs], min(WORDS, share))
         self.grams = []
         for n in range(1, LONGEST + 1):
-            of = {}
-            for lang, c in counts.items():
-                of[lang] = seen = Counter()
-                for word, k in c:
+            of = []
+            for lang in self.langs:
+                of.append(seen := Counter())
+                for word, k in counts[lang]:
                     for g in grams_of(word, n):
                         seen[g] += k
-            self.grams.append(self.logs(of, GRAMS))
+            self.grams.append(Table(of, min(GRAMS, share)))
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)))
-
-    def logs(self, of: dict[str, Counter], most: int) -> dict[str, np.ndarray]:
-        kept = sorted({w for lang in self.langs for w, _ in sorted(of[lang].items(), key=lambda x: (-x[1], x[0]))[:most]})
-        out = np.empty((len(kept), len(self.langs)))
-        for k, lang in enumerate(self.langs):
-            c = of[lang]
-            out[:, k] = np.log((np.array([c[w] for w in kept], float) + 0.1) / (sum(c.values()) + 0.1 * (1 + len(kept))))
-        return dict(zip(kept, out))
+        self.memory = max(1024, min(MEMORY, NUMBERS // max(1, len(self.langs))))
 
     def of_word(self, word: str) -> int:
         """The word's row of log frequencies, worked out once."""
-        found = self.words.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs))
-            for n in range(LONGEST, 0, -1):
-                table = self.grams[n - 1]
-                if seen := [table[g] for g in grams_of(word, n) if g in table]:
-                    found = sum(seen) / len(seen)
-                    break
+        found = self.words.logs(word)
+        for n in range(LONGEST, 0, -1):
+            if found is not None:
+                break
+            if seen := [x for g in grams_of(word, n) if (x := self.grams[n - 1].logs(g)) is not None]:
+                found = sum(seen) / len(seen)
         at = len(self.known)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = found
+        self.rows[at] = 0 if found is None else found
         self.known[word] = at
         return at
 
@@ -85,8 +113,9 @@ class Model:
         counts = words_of(text)
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self.known.clear()
+            self.rows = self.rows[:1024]
         known, of_word = self.known.get, self.of_word
         at = [of_word(w) if (x := known(w)) is None else x for w in counts]
         n = np.fromiter(counts.values(), np.float64, len(counts))
@@ -97,7 +126,8 @@ class Model:
 
 def train(docs: DataFrame, learn: Column, lang: str = "lang", rows: int = LEARNED_ROWS) -> Model:
     """Learn from about `rows` documents of each language at most for which `learn` (of doc_id) holds. Words are
-    counted in each batch before they are shuffled, and the most frequent of each language go to the driver."""
+    counted in each batch before they are shuffled, and the most frequent of each language go to the driver, ENTRIES in all
+    (or one for each language)."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     found = sampled(found.where(F.col("lang").isNotNull() & learn), "doc_id", rows, per="lang")
 
@@ -112,8 +142,10 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", rows: int = LEARNE
         return f
 
     counted = map_arrow(found, make, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = written(docs.sparkSession, counted, "words")
+    most = min(WORDS, max(1, ENTRIES // max(1, counted.select("lang").distinct().count())))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    kept = counted.where("n > 1").withColumn("rank", rank).where(F.col("rank") <= WORDS).drop("rank")
+    kept = counted.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
     counts: dict[str, list[tuple[str, int]]] = {}
     for row in kept.toArrow().to_pylist():
         counts.setdefault(row["lang"], []).append((row["word"], row["n"]))
