@@ -163,7 +163,7 @@ def test_langid_is_brute_force(spark):
 
     from typeloom.llm.langid import GRAMS, WORDS, Model, identify
 
-    docs = documents(spark).limit(400)
+    docs = documents(spark).limit(120)
     counts = {}
     rows = docs.collect()
     words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
@@ -195,7 +195,7 @@ def test_langid_is_brute_force(spark):
         return dict.fromkeys(counts, 0.0)
 
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(docs).collect()}
-    for r in rows[::7]:
+    for r in rows[::3]:
         ws = words(r["text"] or "")
         if not ws:
             assert got[r["doc_id"]] == ("und", 0.0)
@@ -626,13 +626,93 @@ def test_licenses(spark, odd, empty):
     rows = [(1, "Some words.\nReleased under the MIT License."), (2, "LICENSED!! UNDER!! THE!! APACHE!! LICENSE,!! VERSION!! 2.0."), (3, "mit und license ohne"), (4, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License")]
     plain = documents(spark).where("doc_id < 200").select("doc_id", "text").selectExpr("doc_id + 1000 doc_id", "text")
     out = {r["doc_id"]: (r["family"], r["score"]) for r in scan(spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(plain)).collect()}
-    assert out[1][0] == "mit" and out[2][0] == "apache-2.0" and out[3] == ("none", 0.0) and out[4][0] == "gpl-3.0"
+    assert out[1][0] == "mit" and out[2][0] == "apache-2.0" and out[3] == ("none", 0.0)
+    assert out[4][0] == "gpl"  # versions are families of their own, and this notice names none
     notice = re.compile(r"released under the mit|licensed under (the apache|cc by)|gnu general public", re.I)
     for r in plain.collect():
         assert (out[r["doc_id"]][0] != "none") == bool(notice.search(re.sub(r"[^\w.]+", " ", r["text"]).replace("!!", "")))
     assert {r["family"] for r in scan(odd).collect()} == {"none"} and scan(empty).count() == 0
 
 
+#: Notices as files carry them: wrapped, in comments, with other words about them.
+CARRIED = {
+    "mit": """MIT License
+
+Copyright (c) 2020 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "gpl-3.0": """/*
+ * This file is part of Foo.
+ *
+ * Foo is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * Foo is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ */""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "gpl-2.0": "Published under the GNU General Public License version 2, see COPYING.",
+    "gpl-2.0 ": """ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version.""",
+    "lgpl-2.1": """// This library is free software; you can redistribute it and/or
+// modify it under the terms of the GNU Lesser General Public
+// License as published by the Free Software Foundation; either
+// version 2.1 of the License, or (at your option) any later version.""",
+    "agpl-3.0": "You may use it under the terms of the GNU Affero General Public License version 3 only.",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "apache-2.0|mit": "This crate is released under the MIT License or, at your choice, licensed under the Apache License, Version 2.0.",
+    "mpl-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.""",
+    "unlicense": "This is free and unencumbered software released into the\npublic domain.",
+    "gpl": "You should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>.",
+    "": "You need a license to drive. The software is under review, and the terms of the contract are public. MIT is a university.",
+    " ": "The license was issued by the general manager under the terms of the agreement, version 3 of it being free of charge.",
+}
+
+
+def test_licenses_as_files_carry_them(spark):
+    """Also where a third of the corpus carries a licence line, so that its words are common there."""
+    from typeloom.llm.licenses import scan
+
+    prose = [(1000 + k, f"word{k} and other words of no licence\n\nthe end") for k in range(60)]
+    rows = [(k, t) for k, t in enumerate(CARRIED.values())]
+    for corpus in (prose, prose + [(2000 + k, f"code {k}\n# License: MIT\nmore code") for k in range(60)]):
+        out = {r["doc_id"]: "|".join(r["families"]) for r in scan(spark.createDataFrame(rows + corpus, "doc_id bigint, text string")).collect()}
+        assert [out[k] for k in range(len(rows))] == [x.strip() for x in CARRIED]
+        assert not any(out[k] for k, _ in prose)
+
+
+def test_licenses_gate_loses_nothing():
+    """Of every notice more than a quarter of the pairs hold an anchor, so a confirmed paragraph has one."""
+    from typeloom.llm.licenses import CONFIRMED, anchors, notices, pairs_of
+
+    for _, words in notices():
+        pairs = pairs_of(words)
+        assert sum(bool(set(p.split()) & set(anchors())) for p in pairs) > (1 - CONFIRMED) * len(pairs)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
