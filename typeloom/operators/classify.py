@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .keys import keyed
 
 
 def is_named_type() -> Column:
@@ -56,10 +57,26 @@ def tags_of(categories: dict[str, list[str]], key: str) -> list[str]:
     return sorted(categories.get(key, []))
 
 
+def is_namespace() -> Column:
+    """P8."""
+    return F.col("tag") == S.NAMESPACE
+
+
+def type_name_at(offsets: DataFrame, dies: DataFrame) -> DataFrame:
+    """offsets(die_offset, ..) with type_name, the name of a named type's entry (P5), null of any other or missing one."""
+    by = [c for c in keyed(dies, "die_offset") if c in offsets.columns]
+    return offsets.join(dies.where(is_named_type()).select(*by, F.col("name").alias("type_name")), by, "left")
+
+
+def cache_key(tag: Column) -> Column:
+    """The key under which a kind of entry is kept: the tag itself."""
+    return tag
+
+
 def classified(dies: DataFrame) -> DataFrame:
     """die_offset with each predicate's value."""
     return dies.select(
-        "die_offset",
+        *keyed(dies, "die_offset"),
         is_named_type().alias("named"),
         is_forward_declarable().alias("declarable"),
         is_type_qualifier().alias("qualifier"),
@@ -73,7 +90,8 @@ def classified(dies: DataFrame) -> DataFrame:
 
 def resolvable(offsets: DataFrame, dies: DataFrame) -> DataFrame:
     """The rows of offsets(die_offset, ..) whose entry exists and needs resolution."""
-    return offsets.join(dies.where(requires_resolution()).select("die_offset"), "die_offset", "left_semi")
+    by = [c for c in keyed(dies, "die_offset") if c in offsets.columns]
+    return offsets.join(dies.where(requires_resolution()).select(*by), by, "left_semi")
 
 
 def outer_names(rows: DataFrame, column: str = "name") -> DataFrame:

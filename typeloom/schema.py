@@ -38,9 +38,19 @@ PRIMITIVES = [
     "void", "bool", "char", "signed char", "unsigned char", "short", "unsigned short", "int", "unsigned int", "long", "unsigned long",
     "long long", "unsigned long long", "float", "double", "long double", "wchar_t", "char16_t", "char32_t",
     "size_t", "ptrdiff_t", "intptr_t", "uintptr_t",
-    *[f"{p}int{n}_t" for n in (8, 16, 32, 64) for p in ("", "u", "__", "__u")],
-    *[f"{u}int_{kind}{n}_t" for kind in ("fast", "least") for n in (8, 16, 32, 64) for u in ("", "u")],
+    "int8_t", "int16_t", "int32_t", "int64_t", "uint8_t", "uint16_t", "uint32_t", "uint64_t",
+    "__int8_t", "__int16_t", "__int32_t", "__int64_t", "__uint8_t", "__uint16_t", "__uint32_t", "__uint64_t",
+    "int_fast8_t", "int_fast16_t", "int_fast32_t", "int_fast64_t", "uint_fast8_t", "uint_fast16_t", "uint_fast32_t", "uint_fast64_t",
+    "int_least8_t", "int_least16_t", "int_least32_t", "int_least64_t", "uint_least8_t", "uint_least16_t", "uint_least32_t", "uint_least64_t",
 ]
+# fixed values: typedef names that stand for themselves, and those that do in full hierarchies too
+PRIMITIVE_TYPEDEFS = [
+    "u8", "u16", "u32", "u64", "s8", "s16", "s32", "s64", "f32", "f64", "size_t", "ssize_t",
+    "uint_fast8_t", "int_fast8_t", "uint_fast16_t", "int_fast16_t", "uint_fast32_t", "int_fast32_t", "uint_fast64_t", "int_fast64_t",
+    "uint8_t", "int8_t", "uint16_t", "int16_t", "uint32_t", "int32_t", "uint64_t", "int64_t", "uintptr_t", "intptr_t",
+    "__uint64_t", "__int64_t", "__uint32_t", "__int32_t", "__uint16_t", "__int16_t", "__uint8_t", "__int8_t",
+]
+MORE_PRIMITIVES = ["ptrdiff_t", "wchar_t", "char16_t", "char32_t", "long long", "unsigned long long", "long double", "bool", "char", "wchar", "std::size_t", "std::ptrdiff_t"]
 # fixed values: estimated sizes of member types
 SIZES = {
     "bool": 1, "char": 1, "u8": 1, "s8": 1, "uint8_t": 1, "int8_t": 1, "u16": 2, "s16": 2, "short": 2, "uint16_t": 2, "int16_t": 2,

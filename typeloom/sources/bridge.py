@@ -1,6 +1,10 @@
 """A deterministic projection of the star-schema tables onto the table of entries, so that every operator runs on them.
 
-The SQL text is plain enough for other engines to run it too. Offsets of each kind have their own range of 10^9."""
+The SQL text is plain enough for other engines to run it too. Offsets of each kind have their own range of 10^9.
+
+There are two binaries, whose offsets and names are the same but whose definitions differ: `star` has all kinds, `moon` none
+of the orders and of the nations' bases, its classes are larger, and its members have other names and offsets. So whatever
+takes one binary's entry for the other's is seen."""
 
 from __future__ import annotations
 
@@ -49,6 +53,19 @@ KINDS = [
     (f"22*{G}+c_custkey", f"4*{G}+c_custkey", "member", "'home'", None, f"2*{G}+c_nationkey", "8", None, None, None, "", "customer"),
     (f"22*{G}+500000000+c_custkey", f"4*{G}+c_custkey", "member", "'LIMIT'", None, f"9*{G}+c_custkey", None, "c_nationkey", None, None, "ed", "customer"),
     (f"23*{G}+n_nationkey", f"2*{G}+n_nationkey", "member", "'next'", None, f"2*{G}+(n_nationkey+5)%25", "0", None, None, None, "", "nation"),
+    # every other nation: a nested structure whose members are not in order, a named union, an unnamed one with a structure, and parameters of a template
+    (f"24*{G}+n_nationkey*8", f"2*{G}+n_nationkey", "structure_type", "'Geo'", "16", None, None, None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"24*{G}+n_nationkey*8+1", f"24*{G}+n_nationkey*8", "member", "'east'", None, f"4*{G}+n_nationkey+1", "8", None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"24*{G}+n_nationkey*8+2", f"24*{G}+n_nationkey*8", "member", "'north'", None, f"3*{G}+n_nationkey % 5+1", "0", None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"25*{G}+n_nationkey*8", f"2*{G}+n_nationkey", "union_type", None, "8", None, None, None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"25*{G}+n_nationkey*8+1", f"25*{G}+n_nationkey*8", "member", "'code'", None, f"4*{G}+n_nationkey+1", "0", None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"25*{G}+n_nationkey*8+2", f"25*{G}+n_nationkey*8", "structure_type", None, "8", None, None, None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"25*{G}+n_nationkey*8+3", f"25*{G}+n_nationkey*8+2", "member", "'low'", None, f"4*{G}+n_nationkey+1", "0", None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"25*{G}+n_nationkey*8+4", f"2*{G}+n_nationkey", "union_type", "'Value'", "8", None, None, None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"25*{G}+n_nationkey*8+5", f"25*{G}+n_nationkey*8+4", "member", "'raw'", None, f"4*{G}+n_nationkey+1", "0", None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"26*{G}+n_nationkey", f"2*{G}+n_nationkey", "member", None, None, f"25*{G}+n_nationkey*8", "16", None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"27*{G}+n_nationkey*2", f"2*{G}+n_nationkey", "template_type_param", "'T'", None, f"4*{G}+n_nationkey+1", None, None, None, None, "", "nation WHERE n_nationkey % 2 = 0"),
+    (f"27*{G}+n_nationkey*2+1", f"2*{G}+n_nationkey", "template_value_param", "'N'", None, None, None, "n_regionkey", None, None, "", "nation WHERE n_nationkey % 2 = 0"),
 ]
 
 
@@ -67,18 +84,39 @@ ITEMS = "SELECT l_orderkey AS k, cast(l_linenumber as bigint) AS n, min(l_partke
 UNIT = f"""CASE WHEN die_offset >= 6*cast({G} as bigint) AND die_offset < 7*cast({G} as bigint) THEN 6*cast({G} as bigint) + cast(floor((die_offset - 6*cast({G} as bigint)) / 500.0) as bigint) * 500
  WHEN die_offset >= 20*cast({G} as bigint) AND die_offset < 21*cast({G} as bigint) THEN 6*cast({G} as bigint) + cast(floor((die_offset - 20*cast({G} as bigint)) / 4000.0) as bigint) * 500
  ELSE cast(floor(die_offset / {G}.0) as bigint) * cast({G} as bigint) END"""
-#: WITH-clause definitions: items and dies.
-SQL = f"items AS ({ITEMS}), raw_dies AS (\n" + "\nUNION ALL\n".join(selected(k).replace(f"*{G}", f"*cast({G} as bigint)") for k in KINDS) + f"\n), dies AS (SELECT *, {UNIT} AS cu_offset FROM raw_dies)"
-
-
-#: The projected table of each application and folder.
-LOADED: dict[tuple[str, str], str] = {}
+#: What moon leaves out, and how its rows differ.
+MOON = {"name": "CASE WHEN tag = 'DW_TAG_member' AND name IS NOT NULL THEN concat('m_', name) ELSE name END", "byte_size": "CASE WHEN tag = 'DW_TAG_class_type' THEN byte_size + 8 ELSE byte_size END", "loc": "loc + 8"}
+LEFT_OUT = " OR ".join(f"die_offset >= {k}*cast({G} as bigint) AND die_offset < {k + 1}*cast({G} as bigint)" for k in (6, 16, 20))
+COLUMNS = ["die_offset", "parent_offset", "tag", "name", "byte_size", "type_ref", "loc", "const_value", "upper_bound", "count_attr", "has_virtuality", "is_external", "is_declaration", "is_artificial"]
+SOURCES = ("star", "moon")
+#: WITH-clause definitions: items and rows (src 0 or 1, offsets within a binary).
+ROWS = f"items AS ({ITEMS}), raw_dies AS (\n" + "\nUNION ALL\n".join(selected(k).replace(f"*{G}", f"*cast({G} as bigint)") for k in KINDS) + f"""
+), placed AS (SELECT *, {UNIT} AS cu_offset FROM raw_dies),
+rows AS (SELECT cast(0 as bigint) AS src, {", ".join(COLUMNS)}, cu_offset FROM placed
+UNION ALL SELECT cast(1 as bigint) AS src, {", ".join(f"{MOON.get(c, c)} AS {c}" for c in COLUMNS)}, cu_offset FROM placed WHERE NOT ({LEFT_OUT}))"""
+#: For SQL, an entry of binary k has the number offset + k * NODE, so that one number is a key.
+NODE = 1 << 40
+SQL = f"{ROWS}, dies AS MATERIALIZED (SELECT src, " + ", ".join(f"{c} + src * {NODE} AS {c}" if c in ("die_offset", "parent_offset", "type_ref", "cu_offset") else c for c in [*COLUMNS, "cu_offset"]) + " FROM rows)"
+
+
+#: The projected table of each application, folder and state of its tables.
+LOADED: dict[tuple, str] = {}
+
+
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """When each table was last changed, and its size."""
+    out = []
+    for t in TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out += [files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()]
+    return tuple(out)
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """projected(), written once for each application and folder, as the entries of a binary are (tables are taken
-    not to change meanwhile); written again if the result is gone."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """projected(), written once for each application, folder and state of its tables, as the entries of binaries are; written
+    again if the result is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir))
     try:
         if key in LOADED:
             return spark.read.parquet(LOADED[key])
@@ -92,12 +130,12 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of entries, with the columns of schema.DIES that the projection can fill and nulls in the rest; written once,
     as a reader of binaries would, so that operators scan a table and not the projection."""
-    sql = SQL
+    sql = ROWS
     for t in TABLES:
         sql = re.sub(rf"\bFROM {t}\b", f"FROM parquet.`{sf_dir}/{t}.parquet`", sql)
-    rows = spark.sql(f"WITH {sql} SELECT * FROM dies")
+    rows = spark.sql(f"WITH {sql} SELECT * FROM rows")
     own = {
-        "source_id": F.lit("star"),
+        "source_id": F.when(F.col("src") == 0, SOURCES[0]).otherwise(SOURCES[1]),
         "platform": F.lit("unknown"),
         "member_loc": F.when(F.col("loc").isNotNull(), F.struct(F.col("loc").alias("int_value"), F.lit(None).cast("array<bigint>").alias("expr"))),
         "has_children": F.lit(None).cast("boolean"),
