@@ -65,15 +65,20 @@ class Table:
         self.lang, self.more = lang[order].astype(np.int32), np.log((n[order] + 0.1) / 0.1)
         self.starts = np.searchsorted(row[order], np.arange(len(kept) + 1))
 
-    def logs(self, w: str) -> np.ndarray | None:
-        at = self.at.get(w)
-        if at is None:
-            return None
-        a, b = self.starts[at], self.starts[at + 1]
-        out = self.base.copy()
-        out[self.lang[a:b]] += self.more[a:b]
+        # with few languages all rows are worked out at once
+        self.dense = self.filled(np.arange(len(kept))) if len(kept) * len(of) <= NUMBERS else None
+
+    def filled(self, at: np.ndarray) -> np.ndarray:
+        out = np.tile(self.base, (len(at), 1))
+        n = self.starts[at + 1] - self.starts[at]
+        slots = np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(at)), n), self.lang[slots]] += self.more[slots]
         return out
 
+    def logs(self, at: np.ndarray) -> np.ndarray:
+        """The rows of entries by their numbers."""
+        return self.filled(at) if self.dense is None else self.dense[at]
+
 
 class Model:
     def __init__(self, counts: dict[str, list[tuple[str, int]]]):
@@ -90,39 +95,58 @@ class Model:
                     for g in grams_of(word, n):
                         seen[g] += k
             self.grams.append(Table(of, min(GRAMS, share)))
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.langs)))
         self.memory = max(1024, min(MEMORY, NUMBERS // max(1, len(self.langs))))
-
-    def of_word(self, word: str) -> int:
-        """The word's row of log frequencies, worked out once."""
-        found = self.words.logs(word)
-        for n in range(LONGEST, 0, -1):
-            if found is not None:
-                break
-            if seen := [x for g in grams_of(word, n) if (x := self.grams[n - 1].logs(g)) is not None]:
-                found = sum(seen) / len(seen)
-        at = len(self.known)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = 0 if found is None else found
-        self.known[word] = at
-        return at
-
-    def predict(self, text: str) -> tuple[str, float]:
-        counts = words_of(text)
+        self.clear()
+
+    def clear(self) -> None:
+        """Remember the learned words only, or none where their rows are not worked out at once."""
+        self.known: dict[str, int] = {} if self.words.dense is None else dict(self.words.at)
+        self.rows = np.zeros((0, len(self.langs))) if self.words.dense is None else self.words.dense
+        self.fixed = len(self.known)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Work out the rows of words that are not remembered: of the word itself, or the mean of its longest known n-grams."""
+        out, left = np.zeros((len(fresh), len(self.langs))), list(range(len(fresh)))
+        for n, table in [(0, self.words), *((n, self.grams[n - 1]) for n in range(LONGEST, 0, -1))]:
+            get, at, starts, own, rest = table.at.get, [], [], [], []
+            for k in left:
+                found = [x for g in (grams_of(fresh[k], n) if n else [fresh[k]]) if (x := get(g)) is not None]
+                if found:
+                    own.append(k)
+                    starts.append(len(at))
+                    at += found
+                else:
+                    rest.append(k)
+            if own:
+                out[own] = np.add.reduceat(table.logs(np.array(at, np.int64)), starts) / np.diff([*starts, len(at)])[:, None]
+            left = rest
+        used = len(self.known)
+        if used + len(fresh) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:used], out, np.zeros((used, len(self.langs)))])
+        else:
+            self.rows[used : used + len(fresh)] = out
+        self.known.update((w, used + k) for k, w in enumerate(fresh))
+
+    def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        """The language and its score of each text."""
+        bags = [words_of(t) for t in texts]
+        if len(self.known) - self.fixed > self.memory:
+            self.clear()
+        if self.langs and (fresh := sorted(set().union(*bags).difference(self.known))):
+            self.learn(fresh)
+        return [self.predicted(c) for c in bags]
+
+    def predicted(self, counts: Counter) -> tuple[str, float]:
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.known) > self.memory:
-            self.known.clear()
-            self.rows = self.rows[:1024]
-        known, of_word = self.known.get, self.of_word
-        at = [of_word(w) if (x := known(w)) is None else x for w in counts]
         n = np.fromiter(counts.values(), np.float64, len(counts))
-        total = n @ self.rows[at]
+        total = n @ self.rows[list(map(self.known.__getitem__, counts))]
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp((total - total[best]) / np.sqrt(n.sum())).sum())
 
+    def predict(self, text: str) -> tuple[str, float]:
+        return self.predict_all([text])[0]
+
 
 def train(docs: DataFrame, learn: Column, lang: str = "lang", rows: int = LEARNED_ROWS) -> Model:
     """Learn from about `rows` documents of each language at most for which `learn` (of doc_id) holds. Words are
@@ -160,7 +184,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
 
         def f(batch: pa.RecordBatch) -> list:
-            out = [m.predict(t) for t in texts(batch)]
+            out = m.predict_all(texts(batch))
             return [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
 
         return f
