@@ -31,6 +31,8 @@ from .vectors import best, distinct_values, flat, lists, named, part_rows, searc
 SEGMENT = 16
 #: Codes of a part, from and to, and queries of one task.
 LEAST_ROWS, PART_ROWS, QUERY_BLOCK = 8192, 1 << 20, 1 << 20
+#: Queries searched together, and codes verified together.
+AT_ONCE, PAIRS = 64, 1 << 21
 
 
 def sign_codes(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -64,31 +66,43 @@ class Index:
         self.order = [np.argsort(column, kind="stable") for column in codes.T]
         self.starts = [np.searchsorted(column[o], np.arange((1 << SEGMENT) + 1)) for column, o in zip(codes.T, self.order)]
 
-    def search(self, q: np.ndarray, need: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and their distances, all within the distance at which the ids of `need` (of each code) first reach k."""
-        m = len(q)
-        seen = np.zeros(len(self.codes), bool)
-        reached = np.zeros(m * SEGMENT + 1, np.int64)
-        at, far = [], []
+    def search(self, q: np.ndarray, need: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, code, distance of the codes within the distance at which the ids of `need` (of each code) first reach `want`, of
+        all rows of q at once. A code counts at the first radius and segment that find it, which its own distances tell."""
+        m = q.shape[1]
+        alive, reached, limit = np.arange(len(q)), np.zeros((len(q), m * SEGMENT + 1), np.int64), np.full(len(q), m * SEGMENT)
+        rows, at, far = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, np.int64)]
         for r in range(SEGMENT + 1):
             for s in range(m):
-                values = masks()[r] ^ np.uint32(q[s])
-                low, n = self.starts[s][values], self.starts[s][values + 1] - self.starts[s][values]
-                low, n = low[n > 0], n[n > 0]
-                if len(n):
-                    slots = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    found = self.order[s][slots]
-                    found = found[~seen[found]]
-                    seen[found] = True
-                    d = np.bitwise_count(self.codes[found] ^ q).sum(1).astype(np.int64)
-                    reached += np.bincount(d, weights=need[found], minlength=len(reached)).astype(np.int64)
-                    at.append(found)
-                    far.append(d)
-                if reached[: m * r + s + 1].sum() >= k:
-                    at, far = np.concatenate(at), np.concatenate(far)
-                    near = far <= m * r + s
-                    return at[near], far[near]
-        return (np.concatenate(at), np.concatenate(far)) if at else (np.zeros(0, int), np.zeros(0, int))
+                if not len(alive):
+                    break
+                values = masks()[r][None, :] ^ q[alive, s].astype(np.uint32)[:, None]
+                low = self.starts[s][values]
+                n = self.starts[s][values + 1] - low
+                # rows are taken together as far as their codes are PAIRS
+                cuts = np.flatnonzero(np.diff(np.cumsum(n.sum(1)) // PAIRS)) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(alive)]):
+                    self.looked_up(low[a:b], n[a:b], alive[a:b], q, need, r, s, reached, rows, at, far)
+                done = reached[alive, : m * r + s + 1].sum(1) >= want
+                limit[alive[done]] = m * r + s
+                alive = alive[~done]
+        row, code, d = np.concatenate(rows), np.concatenate(at), np.concatenate(far)
+        near = d <= limit[row]
+        return row[near], code[near], d[near]
+
+    def looked_up(self, low, n, whose, q, need, r, s, reached, rows, at, far) -> None:
+        """Verify the codes of look-ups [low, low + n) of rows `whose`, and note those that segment s at radius r finds first."""
+        hit = np.flatnonzero(n)
+        who, low, n = whose[hit // n.shape[1]], low.ravel()[hit], n.ravel()[hit]
+        found = self.order[s][np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        who = np.repeat(who, n)
+        d = np.bitwise_count(self.codes[found] ^ q[who])
+        fresh = ~((d[:, :s] <= r).any(1) | (d[:, s:] < r).any(1))
+        who, found, d = who[fresh], found[fresh], d[fresh].sum(1).astype(np.int64)
+        np.add.at(reached, (who, d), need[found])
+        rows.append(who)
+        at.append(found)
+        far.append(d)
 
 
 def nearest(codes: DataFrame, queries: Column, k: int = 20) -> DataFrame:
@@ -111,17 +125,23 @@ def nearest(codes: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     def answer(state: tuple, asks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         index, starts, every = state
         need, out = np.diff(starts), []
-        for own, q in zip(asks.column("query_id").to_pylist(), segments(asks)):
+        own, q = asks.column("query_id").to_numpy(), segments(asks)
+        for k0 in range(0, len(q), AT_ONCE):
             # the query's own id may be among them, and an id may have several codes
-            want = k + 1
-            while True:
-                at, far = index.search(q, need, want)
-                order = np.argsort(far, kind="stable")
-                names = named(at[order], far[order], starts, every, own)
-                if len(names) >= k or len(at) == len(need):
-                    break
-                want *= 2
-            out += [(own, i, d) for d, i in sorted(names)[:k]]
+            left, want = np.arange(k0, min(len(q), k0 + AT_ONCE)), k + 1
+            while len(left):
+                row, at, far = index.search(q[left], need, want)
+                order = np.lexsort((far, row))
+                ends = np.searchsorted(row[order], np.arange(len(left) + 1))
+                again = []
+                for j, x in enumerate(left.tolist()):
+                    mine = order[ends[j] : ends[j + 1]]
+                    names = named(at[mine], far[mine], starts, every, own[x])
+                    if len(names) >= k or len(mine) == len(need):
+                        out += [(own[x], i, d) for d, i in sorted(names)[:k]]
+                    else:
+                        again.append(x)
+                left, want = np.array(again, int), want * 2
         q, v, d = zip(*out) if out else ((), (), ())
         return np.array(q, np.int64), np.array(v, np.int64), np.array(d, float)
 
