@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fitted_in_task, sampled, written
-from .vectors import best, distinct_values, flat, lists, named, part_rows, searched, top
+from .vectors import TASKS, best, distinct_values, flat, lists, named, part_rows, searched, top
 
 MOST_CENTROIDS, FITTED, ROUNDS = 1024, 20_000, 12
 #: Vectors at least whose cells a query walks through; recall that the share is measured for, and on how many probes.
 ENOUGH, TARGET, PROBES = 2_000, 0.96, 128
 #: Entries of a part, from and to; queries of one task; queries sent on at once.
 LEAST_ROWS, PART_ROWS, QUERY_BLOCK, AT_ONCE = 8192, 1 << 16, 1 << 16, 32
+#: Vectors for each task of walks.
+WALKS = 2_000
 
 
 def usable(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, int]:
@@ -196,7 +198,8 @@ def nearest(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(walks, pa.list_(pa.int64())), pa.array(parts, pa.int64())], names=["query_id", "v", "walk", "part"])
 
     asked = rows.where(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    asked = asked.mapInArrow(ask, "query_id bigint, v array<double>, walk array<bigint>, part bigint")
+    # walks are work that few bytes don't show: a number of tasks is given
+    asked = asked.repartition(max(1, min(TASKS, total // WALKS)), "query_id").mapInArrow(ask, "query_id bigint, v array<double>, walk array<bigint>, part bigint")
 
     def prepare(held: pa.Table) -> tuple:
         held = held.sort_by("cell")
