@@ -123,18 +123,59 @@ def test_toxicity_kernel_is_brute_force():
 
 
 def test_toxicity(spark, odd, empty, no_labels):
+    """On all held-out labels, a few percent of which are wrong."""
     from typeloom.llm.toxicity import classify
 
-    rows = {r["doc_id"]: r for r in classify(documents(spark), labels(spark)).collect()}
-    insults = re.compile("trash|pathetic|idiot|worthless|disgusting|stupid|clown|scum|loser|moron")
-    texts = {r["doc_id"]: r["text"].lower() for r in documents(spark).collect()}
-    marked = held(spark, [r for r in labels(spark).collect() if r["toxic"] is not None], 4, 2)
-    bad = [r for r in marked if r["toxic"] == 1 and len(insults.findall(texts[r["doc_id"]])) > 1]
-    assert np.mean([rows[r["doc_id"]]["predicted"] for r in bad]) >= 0.8
-    assert np.mean([rows[r["doc_id"]]["predicted"] for r in marked if r["toxic"] == 0]) <= 0.1
+    at = "/root/testdata/sf0.1"
+    rows = {r["doc_id"]: r for r in classify(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")).collect()}
+    marked = held(spark, [r for r in spark.read.parquet(f"{at}/labels.parquet").collect() if r["toxic"] is not None], 4, 2)
+    assert all(rows[r["doc_id"]]["held_out"] for r in marked)
+    assert np.mean([rows[r["doc_id"]]["predicted"] for r in marked if r["toxic"] == 1]) >= 0.88
+    assert np.mean([rows[r["doc_id"]]["predicted"] for r in marked if r["toxic"] == 0]) <= 0.01
     assert len(classify(odd, no_labels).collect()) == 9 and classify(empty, no_labels).count() == 0
 
 
+def test_toxicity_learns_many_insults(spark):
+    """More insults than LANDMARKS, each in several labelled texts, gapped and with inserted characters in the held-out ones."""
+    from typeloom.llm.toxicity import LANDMARKS, classify
+
+    rng = random.Random(12)
+    coin = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(n))
+    prose, insults = [coin(rng.randrange(2, 5)) for _ in range(300)], [coin(4) for _ in range(LANDMARKS + 20)]
+    rows, marks = [], []
+    for k in range(1400):
+        words = [rng.choice(prose) for _ in range(30)]
+        if k % 2:
+            w = insults[k % len(insults)]
+            words[7] = w if zlib.crc32(str(k).encode()) % 4 != 2 else w[:3] + "-" + w[3:]
+            words[19] = insults[(k * 7) % len(insults)]
+        rows.append((k, " ".join(words) + "."))
+        marks.append((k, k % 2))
+    out = classify(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int")).collect()
+    new = [r for r in out if r["held_out"]]
+    assert np.mean([r["predicted"] for r in new if r["doc_id"] % 2]) >= 0.95 and np.mean([r["predicted"] for r in new if r["doc_id"] % 2 == 0]) <= 0.05
+
+
+def test_toxicity_scores_are_brute_force(spark):
+    """The machine's values of words by plain kernels with every landmark, and the Gram matrix positive definite."""
+    from typeloom.llm.toxicity import NEAR, Landmarks, Machine, clean, kernel, tokens_of
+
+    marks = Landmarks(["idiot", "trash", "moron", "clown", "model", "crown"], 4)
+    n = len(marks.words)
+    gram = kernel([a for a in marks.words for _ in range(n)], marks.words * n).reshape(n, n) ** 2 / np.outer(marks.own, marks.own)
+    assert np.linalg.eigvalsh(gram).min() > 0
+    weights = np.array([1.0, 0.8, 0.9, 0.7, -0.4, -0.5])
+    m = Machine(marks, weights, -0.1, np.zeros(0))
+    bag = tokens_of("That idi0t m-o-r-o-n is a cl own, a crown in the tras'h and nothing else")
+    for token in bag:
+        w, want = clean(token), -0.1
+        for mark, weight in zip(marks.words, weights):
+            if w and len(set(w) & set(mark)) >= NEAR * len(set(mark)):
+                want += weight * float(kernel([w], [mark])[0]) ** 2 / max(1e-12, float(kernel([w], [w])[0]) * float(kernel([mark], [mark])[0]))
+        m.values([bag])
+        assert abs(m.known[token] - want) < 1e-4
+
+
 def test_langid(spark, odd, empty):
     from typeloom.llm.langid import identify
 

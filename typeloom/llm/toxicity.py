@@ -1,14 +1,23 @@
 """Toxicity: a support vector machine on a gap-weighted subsequence string kernel, with Nystroem landmarks.
 
-A text is a bag of sentences and a sentence is represented by its words; words are read without case, with inserted
+A labelled text is a bag of windows of its sentences, and a window is one word: words are read without case, with inserted
 marks removed, look-alike digits and signs read as letters, and letters that stand apart ("a b c d") joined. Two words
 are compared by the squared normalised kernel of their common subsequences of length ORDER, each weighted by GAP to the
-power of the span it covers, so that gapped and inserted characters only lower the value. The kernel is 0 where a word
-has under NEAR of a landmark's distinct letters. Landmarks are the words of labelled sentences that mark toxic ones most
-and, against them, the frequent clean words nearest to these. Learning is over bags: a toxic text needs one toxic
-sentence. The score is a logistic calibration of the largest decision value in the text.
+power of the span it covers, so that gapped and inserted characters only lower the value. That kernel is positive definite;
+the landmarks' own matrix is worked out in full, and the machine is linear in the values of a word with the landmarks. Of
+those, values with landmarks of whose distinct letters a word has under NEAR are not worked out but taken as 0.
 
-Null and empty texts have no sentence and score as a clean text does; whole texts are read, words of any length in
+Landmarks are the words of labelled texts that mark toxic ones most and, against them, the frequent clean words nearest to
+these. A word that SURE toxic texts have and that passes the test is a landmark, MARKS at most; with less evidence it
+is one only up to LANDMARKS. Learning is over bags: a toxic text needs one toxic window. The score is a logistic calibration of
+the largest decision values in the text, of their sum and of its length. (Whole sentences as windows, with the sum of the kernel
+over their words, found fewer toxic texts and raised more false alarms; figures are in the README.)
+
+Bounds of what is learned from: LEARNED_ROWS labelled rows; of their words the WORDS in most toxic texts; CANDIDATES that pass
+the test; the FREQUENT clean words, of which the KIN nearest to toxic ones are looked at; CLEAN windows of clean texts
+and NEAREST windows of a text in the machine's sample. Scoring reads everything.
+
+Null and empty texts have no window and score as a clean text does; whole texts are read, words of any length in
 overlapping windows of WIDE letters. Equal texts have equal scores; without labels of both kinds all score the share
 of label 1. Extra columns are ignored.
 """
@@ -31,6 +40,8 @@ LEARNED_ROWS, LANDMARKS, MEMORY = 6_000, 40, 400_000
 #: Two landmarks of one kind are less alike than this; words that a toxic text is taken to need; values that
 #: calibrate; clean words in the machine's sample; words of a text that it sees.
 ALIKE, NEEDED, TOP, CLEAN, NEAREST = 0.55, 2, 3, 8_000, 12
+#: Toxic texts that make a word a landmark whatever their number, and the most of those; bounds of words looked at.
+SURE, MARKS, WORDS, CANDIDATES, FREQUENT, KIN = 6, 512, 40_000, 2_000, 20_000, 400
 #: Signs that stand for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 apart = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}").findall
@@ -212,26 +223,27 @@ def chosen(counts: list[tuple[str, int, int]], n1: int, n0: int) -> Landmarks:
             d = np.log((p + 0.5) / (n1 + 1)) - np.log((q + 0.5) / (n0 + 1))
             se = np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
             if d / se >= 2.8 and d - 1.6 * se >= 1:
-                z.append((d / se, word))
-    z = sorted(z, key=lambda x: (-x[0], x[1]))[:2_000]
-    names = [w for _, w in z]
-    toxic = unlike(names)
+                z.append((d / se, word, p))
+    z = sorted(z, key=lambda x: (-x[0], x[1]))[:CANDIDATES]
+    toxic = unlike([w for _, w, _ in z], {w for _, w, p in z if p >= SURE})
     if not toxic:
         return Landmarks([], 0)
-    clean_words = [w for w, p, q in sorted(counts, key=lambda x: (-x[2], x[0])) if len(w) >= ORDER and w not in toxic and q > p][:20_000]
+    clean_words = [w for w, p, q in sorted(counts, key=lambda x: (-x[2], x[0])) if len(w) >= ORDER and w not in toxic and q > p][:FREQUENT]
     at, _, value = Landmarks(toxic, len(toxic)).near(clean_words)
     best = np.zeros(len(clean_words), np.float32)
     np.maximum.at(best, at, value)
-    near = unlike([clean_words[k] for k in np.argsort(-best, kind="stable")[:400] if best[k] > 0.02])
+    near = unlike([clean_words[k] for k in np.argsort(-best, kind="stable")[:KIN] if best[k] > 0.02])
     return Landmarks(toxic + near, len(toxic))
 
 
-def unlike(words: list[str]) -> list[str]:
-    """The first LANDMARKS words, without those too like an earlier one."""
+def unlike(words: list[str], sure: set[str] = frozenset()) -> list[str]:
+    """The first LANDMARKS words and of the others those in sure, MARKS in all, without those too like an earlier one."""
     own = dict(zip(words, kernel(words, words))) if words else {}
     out: list[str] = []
     for w in words:
-        if len(out) < LANDMARKS and (not out or (kernel([w] * len(out), out) / np.sqrt(own[w] * np.array([own[x] for x in out])) < ALIKE).all()):
+        if len(out) >= (MARKS if w in sure else LANDMARKS):
+            continue
+        if not out or (kernel([w] * len(out), out) / np.sqrt(own[w] * np.array([own[x] for x in out])) < ALIKE).all():
             out.append(w)
     return out
 
@@ -257,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
         if not n1 or not n0:
             return Machine(Landmarks([], 0), np.zeros(0), 0.0, np.array([0.0] * (2 * TOP + 3) + [share]))
         df = bag.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-        counts = [(r["word"], r["p"], r["q"]) for r in df.where("p + q >= 3 or p >= 2").orderBy(F.desc("p"), F.desc("q"), "word").limit(40_000).toArrow().to_pylist()]
+        counts = [(r["word"], r["p"], r["q"]) for r in df.where("p + q >= 3 or p >= 2").orderBy(F.desc("p"), F.desc("q"), "word").limit(WORDS).toArrow().to_pylist()]
         marks = chosen(counts, n1, n0)
         if not marks.words:
             return Machine(marks, np.zeros(0), 0.0, np.array([0.0] * (2 * TOP + 3) + [share]))
@@ -331,7 +343,7 @@ def learned(marks: Landmarks, bags: list[np.ndarray], y: np.ndarray) -> tuple[np
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score of every document: a narrow map; the broadcast model has at most 2 * LANDMARKS landmarks."""
+    """doc_id, score of every document: a narrow map; the broadcast model has at most MARKS + LANDMARKS landmarks."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
