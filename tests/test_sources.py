@@ -94,10 +94,59 @@ def test_S1_binary(spark, tmp_path, little, machine, wide, platform):
 
 
 def test_S1_without_dwarf():
+    import io
+
     with pytest.raises(ValueError, match="DWARF"):
-        binary.sections(elf_file(True, 62).replace(b".debug_info", b".xxxxx_info"))
+        binary.Binary(io.BytesIO(elf_file(True, 62).replace(b".debug_info", b".xxxxx_info")), "x")
     with pytest.raises(ValueError, match="ELF"):
-        binary.sections(b"nothing")
+        binary.Binary(io.BytesIO(b"nothing"), "x")
+
+
+def many_units(n: int, name: bytes, size: int) -> bytes:
+    """A file with n units, each a class `name` of `size` bytes {int x} declared in its second file, and line programs."""
+    e = "<"
+    abbrev = bytes([1, 0x11, 1, 0x10, 0x17, 0, 0, 2, 0x02, 1, 0x03, 0x08, 0x0B, 0x0B, 0x3A, 0x0B, 0, 0, 3, 0x0D, 0, 0x03, 0x08, 0x49, 0x13, 0x38, 0x0B, 0, 0, 4, 0x24, 0, 0x03, 0x08, 0x0B, 0x0B, 0, 0, 0])
+    info = lines = b""
+    for k in range(n):
+        head = struct.pack("<IHIBBBBB", 0, 2, 0, 1, 1, 0xFB, 14, 10)[4:] + bytes([0, 1, 1, 1, 1, 0, 0, 0, 1])
+        head += b"inc\0\0" + b"".join(f"{name.decode()}{k}_{j}.h".encode() + b"\0\0\0\0" for j in (1, 2)) + b"\0"
+        at, lines = len(lines), lines + struct.pack("<I", len(head)) + head
+        parts = bytes([1]) + struct.pack("<I", at) + bytes([2]) + name + str(k).encode() + b"\0" + bytes([size, 2])
+        kind = 11 + len(parts) + 1 + 2 + 4 + 1 + 1
+        parts += bytes([3]) + b"x\0" + struct.pack("<I", kind) + bytes([0, 0]) + bytes([4]) + b"int\0" + bytes([4, 0])
+        body = struct.pack("<HIB", 4, 0, 8) + parts
+        info += struct.pack("<I", len(body)) + body
+    sections = {".debug_info": info, ".debug_abbrev": abbrev, ".debug_line": lines}
+    names = b"\0" + b"".join(x.encode() + b"\0" for x in [*sections, ".shstrtab"])
+    blobs, at, table = [], 64, [(0, 0, 0, 0)]
+    for x, data in [*sections.items(), (".shstrtab", names)]:
+        table.append((names.index(x.encode() + b"\0"), 1, at, len(data)))
+        blobs.append(data)
+        at += len(data)
+    rows = b"".join(struct.pack(f"{e}IIQQQQIIQQ", a, kind, 0, 0, o, z, 0, 0, 1, 0) for a, kind, o, z in table)
+    return b"\x7fELF" + bytes([2, 1, 1]) + bytes(9) + struct.pack(f"{e}HHIQQQIHHHHHH", 2, 62, 1, 0, 0, at, 0, 64, 0, 0, 64, len(table), len(table) - 1) + b"".join(blobs) + rows
+
+
+def test_S2_J7_batches_units_and_files(spark, tmp_path):
+    """Two binaries with the same offsets, in several batches each; declaration files reach the headers."""
+    from typeloom.plans import headers
+
+    (tmp_path / "a.elf").write_bytes(many_units(7, b"Box", 4))
+    (tmp_path / "b.elf").write_bytes(many_units(7, b"Bin", 8))
+    binary.register(spark)
+    read = lambda table: spark.read.format("dwarf").option("table", table).option("batch_bytes", 100).load(f"{tmp_path}/*.elf")
+    assert read("entries").rdd.getNumPartitions() > 2
+    for table in binary.TABLES:
+        assert sorted(map(str, read(table).collect())) == sorted(map(str, binary.read_binaries(spark, f"file://{tmp_path}/*.elf", table).collect()))
+    rows = read("units").collect()
+    assert len(rows) == 14 and len({r["source_id"] for r in rows}) == 2 and {r["version"] for r in rows} == {4} and all(r["cu_end"] > r["cu_offset"] for r in rows)
+    assert [r["version"] for r in elf.dwarf_version(read("units")).collect()] == [4, 4] and {r["e_machine"] for r in read("headers").collect()} == {"EM_X86_64"}
+    dies = read("entries")
+    assert dies.where("tag = 'DW_TAG_class_type'").count() == 14 and dies.select("die_offset").distinct().count() == dies.count() // 2
+    graph = headers.Graph(dies, read("files"))
+    out = {r["symbol"]: r["header"] for r in headers.generate(graph, spark.createDataFrame([("Box3",), ("Bin3",)], "symbol string")).collect()}
+    assert "// - Declaration: Box3_2.h" in out["Box3"] and "// - Size: 4 bytes" in out["Box3"] and "int x;  // offset: 0x0" in out["Box3"]
+    assert "// - Declaration: Bin3_2.h" in out["Bin3"] and "// - Size: 8 bytes" in out["Bin3"]
 
 
 def test_S9_S10_S11(spark, tmp_path, monkeypatch):
@@ -120,3 +169,30 @@ def test_streaming_index(spark, tmp_path):
         spark.read.format("dwarf").load(str(tmp_path / "x.elf")).where(F.lit(True)).to(spark.createDataFrame([], DIES).schema).write.mode("append").parquet(f"{tmp_path}/in")
         index_arrivals(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/at").awaitTermination()
     assert {r["symbol"]: r["die_offset"] for r in latest(spark, f"{tmp_path}/out").collect()} == {"Box": 12, "int": 31}
+
+
+def test_O2_command_line(spark, tmp_path, capsys):
+    """Headers of found symbols, a placeholder for a missing one, files apart by platform, the exit code."""
+    from typeloom import __main__ as cli
+
+    (tmp_path / "a.elf").write_bytes(many_units(3, b"Box", 4))
+    out = tmp_path / "out"
+    assert cli.main([str(tmp_path / "a.elf"), "-o", str(out), "--generate", "Box1, Nothing", "--verbose"], spark) == 0
+    assert "class Box1" in (out / "ps4" / "Box1.h").read_text() and "not found" in (out / "unknown" / "Nothing.h").read_text()
+    said = capsys.readouterr().out
+    assert "Total symbols: 2" in said and "ok: 1" in said and "not_found: 1" in said and "entries" in said
+    (tmp_path / "s.txt").write_text("# one\nBox2\n\n")
+    assert cli.main([str(tmp_path / "a.elf"), "-o", str(out), "--symbols-file", str(tmp_path / "s.txt"), "--full-hierarchy"], spark) == 0
+    assert "Inheritance Hierarchy" in (out / "ps4" / "Box2.h").read_text()
+    assert cli.main([str(tmp_path / "a.elf"), "-o", str(out)], spark) == 1
+    assert cli.main([str(tmp_path / "a.elf"), "--generate", "A", "--symbols-file", str(tmp_path / "s.txt")], spark) == 1
+    assert cli.main([str(tmp_path / "none.elf"), "--generate", "A"], spark) == 1
+
+
+def test_O9_progress(spark, tmp_path):
+    from typeloom.plans.progress import observed
+
+    (tmp_path / "a.elf").write_bytes(many_units(3, b"Box", 4))
+    binary.register(spark)
+    rows, counts = observed(spark.read.format("dwarf").load(str(tmp_path / "a.elf")), "read")
+    assert rows.count() == counts()["entries"] == 12 and counts()["units"] == 3

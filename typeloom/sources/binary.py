@@ -1,8 +1,11 @@
-"""ELF files with DWARF 2 to 4, as a data source of entries.
-
-`spark.read.format("dwarf").load(path)` after register(spark) reads files that all executors see, in partitions of units;
-read_binaries() reads from any store by Spark's binaryFile reader, one task a file. Only the sections that are needed are
-looked at, by name, so unknown section types and broken links of other sections do no harm. 64-bit DWARF is not read.
+"""ELF files with DWARF 2 to 4, as a data source of entries, units, file tables and headers.
+
+After register(spark), `spark.read.format("dwarf").load(path)` reads entries; option("table", ..) takes `units`, `files` or
+`headers` instead, option("batch_bytes", ..) the size of a partition. A file is looked at once to list its units (their headers only); a partition is a batch of units, of
+which it reads its own bytes, beside the abbreviations and strings. Paths are files or folders that all executors see, or
+addresses that pyarrow's file systems open (hdfs://, s3://, gs://). read_binaries() reads from any other store by Spark's
+binaryFile reader, one task a file, up to the 2 GB that a value may have. Only the sections that are needed are looked at, by
+name, so unknown section types and broken links of other sections do no harm. 64-bit DWARF is not read.
 """
 
 from __future__ import annotations
@@ -10,14 +13,17 @@ from __future__ import annotations
 import glob
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import DIES
+from ..schema import COMPILE_UNITS, DIES, ELF_HEADERS, LINE_FILES
 
 # fixed values: numbers of DWARF 2 to 4 with the names that operators know
 TAGS = {
@@ -33,7 +39,11 @@ ATTRIBUTES = {
 }
 FIXED = {0x05: 2, 0x06: 4, 0x07: 8, 0x0B: 1, 0x0C: 1, 0x11: 1, 0x12: 2, 0x13: 4, 0x14: 8, 0x17: 4, 0x20: 8}
 CODES = {"accessibility": {1: "DW_ACCESS_public", 2: "DW_ACCESS_protected", 3: "DW_ACCESS_private"}, "encoding": {1: "DW_ATE_address", 2: "DW_ATE_boolean", 4: "DW_ATE_float", 5: "DW_ATE_signed", 6: "DW_ATE_signed_char", 7: "DW_ATE_unsigned", 8: "DW_ATE_unsigned_char", 16: "DW_ATE_UTF"}}
-BATCH = 64
+#: Bytes of units in a partition, about, and rows of an Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4_096
+TABLES = {"entries": DIES, "units": COMPILE_UNITS, "files": LINE_FILES, "headers": ELF_HEADERS}
+# fixed values: ELF machine numbers with their names
+MACHINES = {20: "EM_PPC", 21: "EM_PPC64", 3: "EM_386", 40: "EM_ARM", 62: "EM_X86_64", 183: "EM_AARCH64"}
 
 
 class Bytes:
@@ -65,39 +75,61 @@ class Bytes:
         return raw.decode("utf-8", "replace")
 
 
-def sections(data: bytes) -> tuple[str, int, dict[str, bytes]]:
-    """The byte order, machine number and debug sections of an ELF file; ValueError of others and of files without DWARF."""
-    if data[:4] != b"\x7fELF":
+def opened(path: str) -> BinaryIO:
+    """A file to read and seek in."""
+    if "://" in path or path.startswith("file:"):
+        local = path.removeprefix("file://").removeprefix("file:")
+        if path.startswith("file:"):
+            return open(local, "rb")
+        from pyarrow.fs import FileSystem
+
+        files, at = FileSystem.from_uri(path)
+        return files.open_input_file(at)
+    return open(path, "rb")
+
+
+def layout(f: BinaryIO) -> tuple[str, int, dict[str, tuple[int, int]]]:
+    """The byte order, machine number, and offset and length of the debug sections of an ELF file; ValueError of others."""
+    head = f.read(64)
+    if head[:4] != b"\x7fELF":
         raise ValueError("not an ELF file")
-    wide, order = data[4] == 2, "little" if data[5] == 1 else "big"
+    wide, order = head[4] == 2, "little" if head[5] == 1 else "big"
     e = "<" if order == "little" else ">"
-    machine = struct.unpack_from(e + "H", data, 18)[0]
-    start = struct.unpack_from(e + ("Q" if wide else "I"), data, 40 if wide else 32)[0]
-    size, n, names = struct.unpack_from(e + "HHH", data, 58 if wide else 46)
-    found = []
-    for k in range(n):
-        at = start + k * size
-        name = struct.unpack_from(e + "I", data, at)[0]
-        offset, length = struct.unpack_from(e + ("QQ" if wide else "II"), data, at + (24 if wide else 16))
-        found.append((name, offset, length))
-    base = found[names][1] if names < n else None
-    out = {}
-    for name, offset, length in found:
-        if base is not None:
-            end = data.find(b"\0", base + name)
-            label = data[base + name : end].decode("ascii", "replace")
-            if label.startswith(".debug_"):
-                out[label] = data[offset : offset + length]
-    if ".debug_info" not in out:
+    machine = struct.unpack_from(e + "H", head, 18)[0]
+    start = struct.unpack_from(e + ("Q" if wide else "I"), head, 40 if wide else 32)[0]
+    size, n, names = struct.unpack_from(e + "HHH", head, 58 if wide else 46)
+    f.seek(start)
+    rows, found = f.read(size * n), []
+    for at in range(0, size * n, size or 1):
+        name = struct.unpack_from(e + "I", rows, at)[0]
+        found.append((name, *struct.unpack_from(e + ("QQ" if wide else "II"), rows, at + (24 if wide else 16))))
+    if names >= n:
+        return order, machine, {}
+    f.seek(found[names][1])
+    labels = f.read(found[names][2])
+    named = ((labels[at : labels.find(b"\0", at)].decode("ascii", "replace"), offset, length) for at, offset, length in found)
+    return order, machine, {label: (offset, length) for label, offset, length in named if label.startswith(".debug_")}
+
+
+def section(f: BinaryIO, found: dict[str, tuple[int, int]], name: str) -> bytes:
+    if name not in found:
+        return b""
+    f.seek(found[name][0])
+    return f.read(found[name][1])
+
+
+def info_of(found: dict[str, tuple[int, int]]) -> tuple[int, int]:
+    if ".debug_info" not in found:
         raise ValueError("no DWARF information")
-    return order, machine, out
+    return found[".debug_info"]
 
 
-def units(order: str, info: bytes) -> Iterator[tuple[int, int, int, int, int]]:
-    """offset, end, version, abbreviations' offset, address size of each unit."""
-    at = 0
-    while at + 11 <= len(info):
-        b = Bytes(info, order, at)
+def units(f: BinaryIO, order: str, info: tuple[int, int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """offset, end, version, abbreviations' offset, address size of each unit; only the units' headers are read."""
+    at, (start, size) = 0, info
+    while at + 11 <= size:
+        f.seek(start + at)
+        b = Bytes(f.read(11), order)
         length = b.unsigned(4)
         if length >= 0xFFFFFFF0:
             raise ValueError("64-bit DWARF")
@@ -161,7 +193,7 @@ def tidy(name: str, x, order: str):
     if name in ("is_external", "is_declaration", "is_artificial", "has_virtuality"):
         return x is not None
     if name == "member_loc":
-        return (None, expression(x, order)) if isinstance(x, bytes) else (x, None)
+        return {"int_value": None, "expr": expression(x, order)} if isinstance(x, bytes) else {"int_value": x, "expr": None}
     if name == "vtable_loc":
         return expression(x, order) if isinstance(x, bytes) else [x]
     if name == "const_value":
@@ -173,70 +205,187 @@ def tidy(name: str, x, order: str):
     return x if isinstance(x, int) and not isinstance(x, bool) and x < 1 << 63 else None
 
 
-def entries(data: bytes, source: str, first: int = 0, last: int | None = None) -> Iterator[tuple]:
-    """Rows of schema.DIES of the units numbered first to last - 1."""
-    order, machine, found = sections(data)
-    info, strings = found[".debug_info"], found.get(".debug_str", b"")
-    platform = {(21, "big"): "ps3", (62, "little"): "ps4"}.get((machine, order), "unknown")
-    names = [x.strip().split(" ")[0] for x in DIES.replace("STRUCT<int_value:BIGINT, expr:ARRAY<BIGINT>>", "X").replace("MAP<STRING,STRING>", "X").split(",")]
-    known: dict[int, dict] = {}
-    for number, (unit, end, version, abbrev, address) in enumerate(units(order, info)):
-        if number < first or (last is not None and number >= last):
-            continue
-        table = known.setdefault(abbrev, {}) or known[abbrev]
-        if not table:
-            table.update(abbreviations(order, found[".debug_abbrev"], abbrev))
-        b, parents = Bytes(info, order, unit + 11), []
-        while b.at < end:
-            offset = b.at
+class Binary:
+    """An open file with what its units share."""
+
+    def __init__(self, f: BinaryIO, source: str):
+        self.f, self.source = f, source
+        f.seek(0)
+        self.order, self.machine, self.found = layout(f)
+        self.info = info_of(self.found)
+        self.platform = {(21, "big"): "ps3", (62, "little"): "ps4"}.get((self.machine, self.order), "unknown")
+        self.abbrev, self.strings = section(f, self.found, ".debug_abbrev"), section(f, self.found, ".debug_str")
+        self.known: dict[int, dict] = {}
+
+    def table(self, at: int) -> dict[int, tuple[int, bool, list[tuple[int, int]]]]:
+        if at not in self.known:
+            self.known[at] = abbreviations(self.order, self.abbrev, at)
+        return self.known[at]
+
+    def raw(self, first: int, end: int) -> bytes:
+        self.f.seek(self.info[0] + first)
+        return self.f.read(end - first)
+
+    def entries(self, batch: list[tuple[int, int, int, int, int]]) -> Iterator[tuple]:
+        """Rows of schema.DIES of units that follow each other."""
+        if not batch:
+            return
+        shift, data = batch[0][0], self.raw(batch[0][0], batch[-1][1])
+        for unit, end, version, abbrev, address in batch:
+            table = self.table(abbrev)
+            b, parents = Bytes(data, self.order, unit + 11 - shift), []
+            while b.at < end - shift:
+                offset = b.at + shift
+                code = b.leb()
+                if not code:
+                    if parents:
+                        parents.pop()
+                    continue
+                tag, kids, pairs = table[code]
+                row = {"source_id": self.source, "platform": self.platform, "cu_offset": unit, "die_offset": offset, "parent_offset": parents[-1] if parents else None, "depth": len(parents), "tag": "DW_TAG_" + TAGS.get(tag, f"{tag:#x}"), "has_children": kids, "is_external": False, "is_declaration": False, "is_artificial": False, "has_virtuality": False}
+                rest = {}
+                for attribute, form in pairs:
+                    x = value(b, form, unit, address, version, self.strings)
+                    if attribute in ATTRIBUTES and ATTRIBUTES[attribute] in NAMES:
+                        row[ATTRIBUTES[attribute]] = tidy(ATTRIBUTES[attribute], x, self.order)
+                    else:
+                        rest[f"{attribute:#x}"] = x.hex() if isinstance(x, bytes) else str(x)
+                row["attrs"] = list(rest.items())
+                yield tuple(row.get(n) for n in NAMES)
+                if kids:
+                    parents.append(offset)
+
+    def unit_rows(self, batch: list[tuple[int, int, int, int, int]]) -> Iterator[tuple]:
+        """Rows of schema.COMPILE_UNITS."""
+        for unit, end, version, _, address in batch:
+            yield self.source, unit, end, version, address, self.platform
+
+    def file_rows(self, batch: list[tuple[int, int, int, int, int]]) -> Iterator[tuple]:
+        """Rows of schema.LINE_FILES: the files of each unit's line program, numbered from 1."""
+        lines = section(self.f, self.found, ".debug_line")
+        for unit, end, version, abbrev, address in batch:
+            b = Bytes(self.raw(unit, min(end, unit + 65_536)), self.order, 11)
             code = b.leb()
-            if not code:
-                if parents:
-                    parents.pop()
-                continue
-            tag, kids, pairs = table[code]
-            row = {"source_id": source, "platform": platform, "cu_offset": unit, "die_offset": offset, "parent_offset": parents[-1] if parents else None, "depth": len(parents), "tag": "DW_TAG_" + TAGS.get(tag, f"{tag:#x}"), "has_children": kids, "is_external": False, "is_declaration": False, "is_artificial": False, "has_virtuality": False}
-            rest = {}
-            for attribute, form in pairs:
-                x = value(b, form, unit, address, version, strings)
-                if attribute in ATTRIBUTES and ATTRIBUTES[attribute] in names:
-                    row[ATTRIBUTES[attribute]] = tidy(ATTRIBUTES[attribute], x, order)
-                else:
-                    rest[f"{attribute:#x}"] = x.hex() if isinstance(x, bytes) else str(x)
-            row["attrs"] = rest
-            yield tuple(row.get(n) for n in names)
-            if kids:
-                parents.append(offset)
-
-
-def key_of(data: bytes) -> str:
+            at = None
+            for attribute, form in self.table(abbrev)[code][2] if code else []:
+                x = value(b, form, unit, address, version, self.strings)
+                if attribute == 0x10:
+                    at = x
+            for k, name in enumerate(file_names(lines, self.order, at), 1):
+                yield self.source, unit, k, name
+
+    def header_rows(self) -> Iterator[tuple]:
+        """A row of schema.ELF_HEADERS."""
+        yield self.source, MACHINES.get(self.machine, f"EM_{self.machine}"), self.order == "little", True
+
+
+def file_names(lines: bytes, order: str, at: int | None) -> list[str]:
+    """The file names in the header of a line program of version 2 to 4; none of other versions and broken ones."""
+    if not isinstance(at, int) or at + 10 > len(lines):
+        return []
+    try:
+        b = Bytes(lines, order, at)
+        b.unsigned(4)
+        version = b.unsigned(2)
+        if not 2 <= version <= 4:
+            return []
+        b.take(4 + 1 + (version >= 4) + 3)
+        b.take(b.unsigned(1) - 1)
+        while b.text():
+            pass
+        out = []
+        while name := b.text():
+            b.leb(), b.leb(), b.leb()
+            out.append(name)
+        return out
+    except (IndexError, ValueError):
+        return []
+
+
+def key_of(head: bytes) -> str:
     """C12."""
-    return hashlib.sha256(data[:65536]).hexdigest()[:16]
+    return hashlib.sha256(head[:65536]).hexdigest()[:16]
+
+
+#: Arrow's types of the schemas' types; the workers that read have no session to ask.
+ARROW = {
+    "STRING": pa.string(), "BIGINT": pa.int64(), "INT": pa.int32(), "BOOLEAN": pa.bool_(), "ARRAY<BIGINT>": pa.list_(pa.int64()), "MAP<STRING,STRING>": pa.map_(pa.string(), pa.string()),
+    "STRUCT<int_value:BIGINT, expr:ARRAY<BIGINT>>": pa.struct([("int_value", pa.int64()), ("expr", pa.list_(pa.int64()))]),
+}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    kinds = "|".join(sorted(map(re.escape, ARROW), key=len, reverse=True))
+    return pa.schema([(name, ARROW[kind]) for name, kind in re.findall(rf"(\w+) ({kinds})(?:,|$)", ddl)])
+
+
+NAMES = arrow_schema(DIES).names
+
+
+def arrow(rows: Iterator[tuple], table: str) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches."""
+    schema, held = arrow_schema(TABLES[table]), []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH_ROWS:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
 
 
 class Batch(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, source: str, units: list[tuple[int, int, int, int, int]]):
+        self.path, self.source, self.units = path, source, units
+
+
+def listed(path: str) -> list[str]:
+    """The files of a folder, a pattern or an address."""
+    if "://" in path and not path.startswith("file:"):
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+
+        files, at = FileSystem.from_uri(path)
+        if files.get_file_info(at).type != FileType.Directory:
+            return [path]
+        root = path[: path.index(at)] if at in path else path.partition("://")[0] + "://"
+        return sorted(root + x.path for x in files.get_file_info(FileSelector(at)) if x.type == FileType.File)
+    path = path.removeprefix("file://").removeprefix("file:")
+    return sorted(glob.glob(os.path.join(path, "*"))) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
 
 
 class DwarfReader(DataSourceReader):
     def __init__(self, options: dict):
-        path = options["path"]
-        self.files = sorted(glob.glob(os.path.join(path, "*"))) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
+        self.table, self.files, self.bytes = options.get("table", "entries"), listed(options["path"]), int(options.get("batch_bytes", BATCH_BYTES))
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in self.files:
-            with open(path, "rb") as f:
-                order, _, found = sections(f.read())
-            n = sum(1 for _ in units(order, found[".debug_info"]))
-            out += [Batch(path, k, min(n, k + BATCH)) for k in range(0, n, BATCH)]
+            with opened(path) as f:
+                source = key_of(f.read(65536))
+                f.seek(0)
+                order, _, found = layout(f)
+                held: list[tuple[int, int, int, int, int]] = []
+                first = len(out)
+                for unit in units(f, order, info_of(found)):
+                    held.append(unit)
+                    if unit[1] - held[0][0] >= self.bytes:
+                        out.append(Batch(path, source, held))
+                        held = []
+                if held or len(out) == first:
+                    out.append(Batch(path, source, held))
+                if self.table == "headers":
+                    out[first:] = [Batch(path, source, [])]
         return out
 
-    def read(self, batch: Batch) -> Iterator[tuple]:
-        with open(batch.path, "rb") as f:
-            data = f.read()
-        yield from entries(data, key_of(data), batch.first, batch.last)
+    def read(self, batch: Batch) -> Iterator[pa.RecordBatch]:
+        with opened(batch.path) as f:
+            own = Binary(f, batch.source)
+            rows = {"entries": lambda: own.entries(batch.units), "units": lambda: own.unit_rows(batch.units), "files": lambda: own.file_rows(batch.units), "headers": own.header_rows}[self.table]()
+            yield from arrow(rows, self.table)
 
 
 class DwarfSource(DataSource):
@@ -245,7 +394,7 @@ class DwarfSource(DataSource):
         return "dwarf"
 
     def schema(self) -> str:
-        return DIES
+        return TABLES[self.options.get("table", "entries")]
 
     def reader(self, schema) -> DataSourceReader:
         return DwarfReader(self.options)
@@ -255,22 +404,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(DwarfSource)
 
 
-def read_binaries(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of all ELF files at path, in any store that Spark reads."""
-    import pandas as pd
-
-    names = spark.createDataFrame([], DIES).columns
+def read_binaries(spark: SparkSession, path: str, table: str = "entries") -> DataFrame:
+    """A table of all ELF files at path, in any store that Spark reads."""
+    import io
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for data in frame["content"]:
-                held = []
-                for row in entries(bytes(data), key_of(bytes(data))):
-                    held.append(row)
-                    if len(held) == 20_000:
-                        yield pd.DataFrame(held, columns=names, dtype=object)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=names, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data = batch.column(0)[k].as_buffer().to_pybytes()
+                own = Binary(io.BytesIO(data), key_of(data))
+                every = list(units(own.f, own.order, own.info))
+                rows = {"entries": lambda: (r for u in every for r in own.entries([u])), "units": lambda: own.unit_rows(every), "files": lambda: own.file_rows(every), "headers": own.header_rows}[table]()
+                yield from arrow(rows, table)
 
-    return spark.read.format("binaryFile").load(path).select(F.col("content")).mapInPandas(run, DIES)
+    return spark.read.format("binaryFile").load(path).select(F.col("content")).mapInArrow(run, TABLES[table])
