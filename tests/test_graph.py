@@ -220,3 +220,56 @@ def test_K2_index_is_written_once(spark, tmp_path):
     assert headers.load_index(spark, at).count() == 0
     assert headers.save_index(a, at) and not headers.save_index(a, at)
     assert headers.load_index(spark, at).count() == 1
+
+
+@pytest.fixture(scope="module")
+def two(spark):
+    """Two binaries with the same offsets: class A {int x} and class B {float y} at 2, and both have a class Same."""
+    of = lambda source, kind, size, cls, member: [
+        die(1, "base_type", kind, byte_size=size, source_id=source), die(2, "class_type", cls, byte_size=size, source_id=source), die(3, "member", member, 2, type_ref=1, member_loc=(0, None), source_id=source),
+        die(4, "class_type", "Same", byte_size=size * 2, source_id=source), die(5, "inheritance", parent=4, type_ref=2, source_id=source), die(6, "pointer_type", type_ref=2, source_id=source), die(7, "member", "p", 4, type_ref=6, member_loc=(0, None), source_id=source),
+        die(8, "typedef", "word", type_ref=1, source_id=source), die(9, "member", "w", 4, type_ref=8, member_loc=(8, None), source_id=source),
+    ]
+    return dies(spark, *of("one", "int", 4, "A", "x"), *of("two", "float", 8, "B", "y"))
+
+
+def test_two_binaries_headers(spark, two):
+    graph = headers.Graph(two)
+    asked = spark.createDataFrame([("A",), ("B",), ("Same",), ("C",)], "symbol string")
+    got = {(r["source_id"], r["symbol"]): r["header"] for r in headers.generate(graph, asked).collect()}
+    assert set(got) == {("one", "A"), ("two", "B"), ("one", "Same"), ("two", "Same"), (None, "C")}
+    assert got["one", "A"].count("int x;  // offset: 0x0") == 1 and "float" not in got["one", "A"] and "class B" not in got["one", "A"]
+    assert got["two", "B"].count("float y;  // offset: 0x0") == 1
+    assert "class Same : public A" in got["one", "Same"] and "A* p;" in got["one", "Same"] and "typedef int word;" in got["one", "Same"] and "class A;" in got["one", "Same"]
+    assert "class Same : public B" in got["two", "Same"] and "B* p;" in got["two", "Same"] and "typedef float word;" in got["two", "Same"] and "- Size: 16 bytes" in got["two", "Same"]
+    whole = {(r["source_id"], r["symbol"]): r["header"] for r in headers.generate(graph, asked, full_hierarchy=True).collect()}
+    assert set(whole) == set(got) and "// - Full Inheritance Chain: A -> Same" in whole["one", "Same"] and "B -> Same" in whole["two", "Same"]
+    # asked for by source
+    one = headers.generate(graph, spark.createDataFrame([("two", "Same"), ("two", "A")], "source_id string, symbol string")).collect()
+    assert {(r["source_id"], r["symbol"], r["status"]) for r in one} == {("two", "Same", "ok"), ("two", "A", "not_found")}
+
+
+def test_two_binaries_lookups(spark, two):
+    assert {(r["source_id"], r["symbol"]): r["die_offset"] for r in index.symbol_index(two).collect()} == {(s, n): o for s, c, k in (("one", "A", "int"), ("two", "B", "float")) for n, o in ((k, 1), (c, 2), ("Same", 4), ("word", 8))}
+    assert {(r["source_id"], r["die_offset"], r["target_name"]) for r in lookup.dereferenced(two).collect()} >= {("one", 3, "int"), ("two", 3, "float"), ("one", 6, "A"), ("two", 6, "B")}
+    assert lookup.dereferenced(two).count() == 12 and lookup.children(two, two).count() == 8 and lookup.parents(two).count() == 8
+    assert {(r["source_id"], r["symbol"], r["ancestor"]) for r in chains.inheritance(two, index.symbol_index(two)).collect()} == {("one", "Same", "A"), ("two", "Same", "B")}
+
+
+def test_J11_long_chains_and_circles(spark):
+    """A chain of 200 classes is whole, a circle is cut where it closes."""
+    line = [x for k in range(200) for x in (die(1000 + k, "class_type", f"c{k}", byte_size=8), die(3000 + k, "inheritance", parent=1000 + k, type_ref=1001 + k))][:-1]
+    ring = [x for k in range(5) for x in (die(5000 + k, "class_type", f"r{k}", byte_size=8), die(6000 + k, "inheritance", parent=5000 + k, type_ref=5000 + (k + 1) % 5))]
+    tail = [die(7000, "class_type", "t", byte_size=8), die(7001, "inheritance", parent=7000, type_ref=5002)]
+    frame = dies(spark, *line, *ring, *tail)
+    got = {}
+    for r in chains.inheritance(frame, index.symbol_index(frame)).collect():
+        got.setdefault(r["symbol"], {})[r["depth"]] = r["ancestor"]
+    assert got["c0"] == {k: f"c{k}" for k in range(1, 200)} and got["c198"] == {1: "c199"}
+    assert got["r3"] == {1: "r4", 2: "r0", 3: "r1", 4: "r2"} and got["t"] == {1: "r2", 2: "r3", 3: "r4", 4: "r0", 5: "r1"}
+
+
+def test_K1_files_of_like_names(spark, tmp_path):
+    rows = [("a::b", "ok", "1"), ("a__b", "ok", "2"), ("A::B", "ok", "3")]
+    headers.export_files(spark.createDataFrame(rows, "symbol string, status string, header string"), str(tmp_path), "ps4")
+    assert sorted(p.read_text() for p in (tmp_path / "ps4").iterdir()) == ["1", "2", "3"]

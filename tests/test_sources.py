@@ -171,6 +171,19 @@ def test_streaming_index(spark, tmp_path):
     assert {r["symbol"]: r["die_offset"] for r in latest(spark, f"{tmp_path}/out").collect()} == {"Box": 12, "int": 31}
 
 
+def test_streaming_prefers_definitions(spark, tmp_path):
+    """A declaration that arrives first gives way to the definition, and that to no later declaration."""
+    from typeloom import schema as S
+    from typeloom.streaming.indexing import index_arrivals, latest
+
+    full = spark.createDataFrame([], S.DIES).schema
+    row = lambda offset, size: tuple({"source_id": "s", "tag": "DW_TAG_class_type", "name": "A", "cu_offset": 0, "die_offset": offset, "byte_size": size}.get(f.name) for f in full)
+    for offset, size in ((3, None), (9, 8), (1, None)):
+        spark.createDataFrame([row(offset, size)], full).write.mode("append").parquet(f"{tmp_path}/in")
+        index_arrivals(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/at").awaitTermination()
+    assert [r["die_offset"] for r in latest(spark, f"{tmp_path}/out").collect()] == [9]
+
+
 def test_O2_command_line(spark, tmp_path, capsys):
     """Headers of found symbols, a placeholder for a missing one, files apart by platform, the exit code."""
     from typeloom import __main__ as cli
