@@ -297,6 +297,26 @@ def test_neardup_on_edited_copies(spark):
         assert got == want
 
 
+def test_neardup_over_many_blocks(spark, monkeypatch):
+    """Groups that span many pairs of blocks, a large one of near copies among them, equal brute force."""
+    from typeloom.llm import neardup
+
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", 5)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 5)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for size, copies in ((120, 60), (60, 30), (40, 30), (200, 20), (90, 20)):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randrange(0, size // 20 + 1)):
+                copy[rng.randrange(size)] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_neardup_odd(spark, odd, empty):
     from typeloom.llm.neardup import near_duplicates
 
@@ -766,3 +786,25 @@ def test_pipeline_stages(spark):
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
     assert {r["doc_id"] for r in one.select("doc_id").collect()} == {k for k, (_, c) in want.items() if k == c}
     assert one.columns == p.pii(spark, docs, SF).columns == p.mixing(spark, docs, SF).columns == docs.columns
+
+
+def test_pipeline_run(spark):
+    """run() puts out the digests of the texts that its stages, taken one by one, leave; the mix's own counts hold."""
+    import corpus_pipeline as p
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from typeloom.llm.mixing import mix
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    docs = documents(spark)
+    for _, stage in p.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+    want = Counter()
+    texts = docs.collect()
+    for r in texts:
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in p.run(spark, SF).collect()) == want
+    shares = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mix(before).collect() if r["size"]}
+    assert Counter(r["doc_id"] for r in texts) == Counter({k: n for k, n in shares.items() if n})
