@@ -8,7 +8,8 @@ of the original vectors in double precision. The share is measured at fitting: t
 sampled vectors pass TARGET of their true k nearest in the sample. It is small where the vectors have clusters and large
 where they have none.
 
-Cells are dealt into parts, a cell larger than a part over several; a query goes to the parts of its cells only.
+Cells are dealt into parts, a cell larger than a part over several; a query goes to the parts of its cells only, with the
+summed distance at which its walk ended.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, neither as
 queries nor as candidates. Equal vectors are indexed once, with their k + 1 smallest ids, so a vector that a third of all
@@ -108,14 +109,18 @@ class Index:
         mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         return self.low[cell] + (mixed % (self.high[cell] - self.low[cell] + 1).astype(np.uint64)).astype(np.int64)
 
-    def walk(self, q: np.ndarray, enough: int) -> np.ndarray:
-        """The cells that hold something, nearest pair first, until they hold `enough`. The heap has the next pair of each
-        row of pairs that has been entered; a row is entered when the one before it is."""
-        a, b = -(self.first @ q[: self.cut]), -(self.second @ q[self.cut :])
+    def distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a query's halves to the centroids: the less, the nearer."""
+        return -(self.first @ q[: self.cut]), -(self.second @ q[self.cut :])
+
+    def walk(self, q: np.ndarray, enough: int) -> tuple[np.ndarray, float]:
+        """The cells that hold something, nearest pair first, until they hold `enough`; and the summed distance of the last. The
+        heap has the next pair of each row of pairs that has been entered; a row is entered when the one before it is."""
+        a, b = self.distances(q)
         ia, ib = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
         a, b = a[ia].tolist(), b[ib].tolist()
         held_in = self.counts[ia][:, ib].tolist()
-        rows, columns, at, held = [], [], [0] * len(a), 0
+        rows, columns, at, held, limit = [], [], [0] * len(a), 0, -np.inf
         heap, last = [(a[0] + b[0], 0)], len(b)
         while heap and held < enough:
             i = heap[0][1]
@@ -124,6 +129,7 @@ class Index:
                 rows.append(i)
                 columns.append(j)
                 held += n
+                limit = heap[0][0]
             at[i] = j + 1
             if j + 1 < last:
                 heapq.heapreplace(heap, (a[i] + b[j + 1], i))
@@ -131,7 +137,12 @@ class Index:
                 heapq.heappop(heap)
             if j == 0 and i + 1 < len(a):
                 heapq.heappush(heap, (a[i + 1] + b[0], i + 1))
-        return ia[rows] * last + ib[columns]
+        return ia[rows] * last + ib[columns], limit
+
+    def passed(self, q: np.ndarray, limit: float, cells: np.ndarray) -> np.ndarray:
+        """Which of the cells a walk with this limit has passed."""
+        a, b = self.distances(q)
+        return a[cells // len(b)] + b[cells % len(b)] <= limit
 
 
 def fitted(vectors: DataFrame, width: int, total: int, k: int) -> Index | None:
@@ -178,28 +189,26 @@ def nearest(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     stored = vectors.select("v", "ids").mapInArrow(put, "v array<double>, ids array<bigint>, cell bigint, part bigint")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each part that a query's walk comes to, with the cells that it passes there."""
+        """A row for each part that a query's walk comes to, with the walk's limit, which says what cells it passes there."""
         own = shared.value
         for batch in batches:
             q = flat(pa.Table.from_batches([batch]), "v", width, np.float64)
             for k0 in range(0, len(q), AT_ONCE):
-                whose, parts, walks = [], [], []
+                whose, parts, limits = [], [], []
                 for row in range(k0, min(len(q), k0 + AT_ONCE)):
-                    walk = own.walk(q[row], enough)
-                    times = own.high[walk] - own.low[walk] + 1
-                    cell = np.repeat(walk, times)
-                    part = own.low[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
-                    order = np.argsort(part, kind="stable")
-                    at, first = np.unique(part[order], return_index=True)
+                    walk, limit = own.walk(q[row], enough)
+                    low, high = own.low[walk], own.high[walk]
+                    # a cell's parts follow each other
+                    at = np.unique(np.concatenate([low, *(np.arange(x, y + 1) for x, y in zip(low[high > low], high[high > low]))]))
                     whose += [row] * len(at)
                     parts += at.tolist()
-                    walks += np.split(cell[order], first[1:])
+                    limits += [limit] * len(at)
                 sent = batch.take(pa.array(whose, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(walks, pa.list_(pa.int64())), pa.array(parts, pa.int64())], names=["query_id", "v", "walk", "part"])
+                yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(limits, pa.float64()), pa.array(parts, pa.int64())], names=["query_id", "v", "limit", "part"])
 
     asked = rows.where(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     # walks are work that few bytes don't show: a number of tasks is given
-    asked = asked.repartition(max(1, min(TASKS, total // WALKS)), "query_id").mapInArrow(ask, "query_id bigint, v array<double>, walk array<bigint>, part bigint")
+    asked = asked.repartition(max(1, min(TASKS, total // WALKS)), "query_id").mapInArrow(ask, "query_id bigint, v array<double>, limit double, part bigint")
 
     def prepare(held: pa.Table) -> tuple:
         held = held.sort_by("cell")
@@ -211,11 +220,9 @@ def nearest(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     def answer(state: tuple, asks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, kinds, first, starts, every, least = state
         out = []
-        (at, walks), q = lists(asks, "walk"), flat(asks, "v", width, np.float64)
+        limits, q = asks.column("limit").to_numpy(), flat(asks, "v", width, np.float64)
         for row, own in enumerate(asks.column("query_id").to_pylist()):
-            walk = walks[at[row] : at[row + 1]]
-            place = np.minimum(np.searchsorted(kinds, walk), len(kinds) - 1)
-            place = place[kinds[place] == walk]
+            place = np.flatnonzero(shared.value.passed(q[row], limits[row], kinds))
             n = first[place + 1] - first[place]
             entries = np.repeat(first[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             if not len(entries):
