@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,27 @@ def plain(sql: str):
     return put
 
 
+#: The graph of each projected table: its folder, and a folder that shows whether its tables are still there.
+GRAPHS: dict[str, tuple[headers.Graph, str]] = {}
+
+
+def graph_of(spark: SparkSession, sf_dir: str) -> headers.Graph:
+    """The graph of the projected entries, with types, records and typed parts: worked out once for each projected table and
+    read by all queries that need it, again if its tables are gone."""
+    dies = bridge(spark, sf_dir)
+    at = dies.inputFiles()[0].rpartition("/")[0]
+    try:
+        if at in GRAPHS:
+            graph, parts = GRAPHS[at]
+            spark.read.parquet(parts)
+            return graph
+    except AnalysisException:
+        pass
+    graph = headers.Graph(dies)
+    GRAPHS[at] = graph, graph.parts.inputFiles()[0].rpartition("/")[0]
+    return graph
+
+
 def text_of(array, f) -> DataFrame:
     return F.array_join(F.transform(array, f), ";")
 
@@ -212,7 +234,7 @@ FROM dies d LEFT JOIN members m ON m.parent_offset = d.die_offset LEFT JOIN meth
 WHERE d.tag IN ({SEARCHABLE}) AND d.tag <> 'DW_TAG_namespace'""")
 def class_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda x: x.cast("string")
-    rows = records.class_records(bridge(spark, sf_dir))
+    rows = graph_of(spark, sf_dir).records
     member = lambda m: F.concat(m["name"], F.lit(":"), m["type_name"], F.lit("@"), F.coalesce(s(m["offset"]), F.lit("-")), F.lit(">"), F.coalesce(s(m["type_offset"]), F.lit("-")), F.when(m["is_static"], F.concat(F.lit("="), F.coalesce(s(m["const_value"]), F.lit("-")))).otherwise(""))
     method = lambda m: F.concat(m["return_type"], F.lit(" "), m["name"], F.lit("/"), s(F.size(m["parameters"])), F.when(m["is_virtual"], " virtual").otherwise(""), F.when(m["is_constructor"], " ctor").when(m["is_destructor"], " dtor").otherwise(""))
     return rows.select("source_id", "die_offset", "name", "byte_size", F.array_join("base_classes", ";").alias("bases"), text_of("members", member).alias("members"), text_of("methods", method).alias("methods"))
@@ -256,9 +278,11 @@ LAYOUT_SQL = f"""{NAMES_SQL}, laid AS (
 )"""
 
 
-def bridge_layout(dies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bridge_layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    graph = graph_of(spark, sf_dir)
+    dies = graph.dies
     classes = dies.where(F.col("tag").isin(S.FORWARD_DECLARABLE)).select("source_id", F.col("die_offset").alias("class_offset"), F.coalesce("byte_size", F.lit(0)).alias("byte_size"))
-    rows = records.members(dies, records.Types(dies)).select("source_id", F.col("parent_offset").alias("class_offset"), F.col("die_offset").alias("seq"), "name", "type_name", "offset")
+    rows = records.members(dies, graph.types).select("source_id", F.col("parent_offset").alias("class_offset"), F.col("die_offset").alias("seq"), "name", "type_name", "offset")
     return rows, classes
 
 
@@ -270,18 +294,18 @@ PACK_SQL = f"""{LAYOUT_SQL}, padded AS (
 
 @query(f"{PACK_SQL} SELECT * FROM packed", key="class_offset")
 def packing_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.packing(*bridge_layout(bridge(spark, sf_dir)))
+    return layout.packing(*bridge_layout(spark, sf_dir))
 
 
 @query(f"{PACK_SQL} SELECT class_offset, CASE suggested_packing WHEN 1 THEN '#pragma pack(push, 1)' WHEN 4 THEN '#pragma pack(push, 4)' END AS pragma FROM packed", key="class_offset")
 def pragma_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.packing(*bridge_layout(bridge(spark, sf_dir))).select("source_id", "class_offset", layout.pragma(F.col("suggested_packing")).alias("pragma"))
+    return layout.packing(*bridge_layout(spark, sf_dir)).select("source_id", "class_offset", layout.pragma(F.col("suggested_packing")).alias("pragma"))
 
 
 @query(f"""{LAYOUT_SQL} SELECT class_offset, coalesce(after, 'start') AS after_member, cast(coalesce(before, 0) AS bigint) AS "offset", cast(off - coalesce(before, 0) AS bigint) AS size FROM prev WHERE off > coalesce(before, 0)
 UNION ALL SELECT e.class_offset, e.last, cast(e.stop AS bigint), cast(d.byte_size - e.stop AS bigint) FROM ends e JOIN dies d ON d.die_offset = e.class_offset WHERE d.byte_size > e.stop""", key="class_offset")
 def member_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, classes = bridge_layout(bridge(spark, sf_dir))
+    rows, classes = bridge_layout(spark, sf_dir)
     return layout.gaps(rows, classes).select("source_id", "class_offset", "after_member", F.col("offset").cast("bigint").alias("offset"), F.col("size").cast("bigint").alias("size"))
 
 
@@ -303,10 +327,8 @@ used AS (SELECT DISTINCT t.owner, f.name, f.target FROM typed t JOIN names n ON
 
 @query(f"{STEPS_SQL}, {NAMES_SQL}, {FINAL_SQL} SELECT owner, name, target FROM used", key="owner")
 def used_typedefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dies = bridge(spark, sf_dir)
-    types = records.Types(dies)
-    parts = records.typed_parts(records.class_records(dies, types)).select("source_id", "owner", "type_name")
-    return chains.used_typedefs(parts, chains.final_texts(dies, types.walks))
+    graph = graph_of(spark, sf_dir)
+    return chains.used_typedefs(graph.parts.select("source_id", "owner", "type_name"), graph.finals)
 
 
 FORWARD_SQL = f"""declared AS (
@@ -317,7 +339,7 @@ FORWARD_SQL = f"""declared AS (
 
 @query(f"{STEPS_SQL}, {NAMES_SQL}, {FINAL_SQL}, {FORWARD_SQL} SELECT owner, name FROM forward", key="owner")
 def forward_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = headers.Graph(bridge(spark, sf_dir))
+    graph = graph_of(spark, sf_dir)
     return headers.extras(graph, graph.records.select("source_id", F.col("die_offset").alias("owner")))[1]
 
 
@@ -393,7 +415,7 @@ LEFT JOIN (SELECT owner, string_agg('class ' || name || ';', chr(10) ORDER BY na
 @query(f"{classes_text_sql()} {HEADER_SQL}", key="src")
 def header_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The single-definition headers of every symbol that is no namespace."""
-    graph = headers.Graph(bridge(spark, sf_dir))
+    graph = graph_of(spark, sf_dir)
     return headers.single_headers(graph, graph.index.where(F.col("tag") != S.NAMESPACE).select("source_id", "symbol"))
 
 
@@ -429,7 +451,7 @@ LEFT JOIN (SELECT src, root, string_agg('class ' || name || ';', chr(10) ORDER B
 @query(HIERARCHY_SQL, key="src")
 def hierarchy_header_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full-hierarchy headers of every class (suppliers, customers and nations; what is no class is no root)."""
-    graph = headers.Graph(bridge(spark, sf_dir))
+    graph = graph_of(spark, sf_dir)
     return headers.hierarchy_headers(graph, graph.index.where(F.col("tag") == S.CLASS).select("source_id", "symbol"))
 
 
@@ -496,14 +518,14 @@ def resolvable_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c.die_offset, coalesce(c.byte_size, 0) <= 64 AND count(m.die_offset) <= 10 AS simple FROM dies c LEFT JOIN dies m ON m.parent_offset = c.die_offset AND m.tag = 'DW_TAG_member' AND m.name IS NOT NULL WHERE c.tag IN ({SEARCHABLE}) AND c.tag <> 'DW_TAG_namespace' GROUP BY c.die_offset, c.byte_size")
 def simple_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records.class_records(bridge(spark, sf_dir))
+    rows = graph_of(spark, sf_dir).records
     return rows.select("source_id", "die_offset", classify.is_simple(F.col("byte_size"), F.size("members")).alias("simple"))
 
 
 @query("""SELECT c.die_offset, coalesce(string_agg(CASE WHEN p.tag = 'DW_TAG_template_type_param' THEN p.name || '=' || t.name END, ';' ORDER BY p.die_offset), '') AS types, coalesce(string_agg(CASE WHEN p.tag = 'DW_TAG_template_value_param' THEN p.name || ':void=' || cast(p.const_value AS varchar) END, ';' ORDER BY p.die_offset), '') AS vals
 FROM dies c JOIN dies p ON p.parent_offset = c.die_offset AND p.tag IN ('DW_TAG_template_type_param', 'DW_TAG_template_value_param') LEFT JOIN dies t ON t.die_offset = p.type_ref GROUP BY c.die_offset""")
 def template_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records.class_records(bridge(spark, sf_dir)).where(F.size("template_type_params") + F.size("template_value_params") > 0)
+    rows = graph_of(spark, sf_dir).records.where(F.size("template_type_params") + F.size("template_value_params") > 0)
     return rows.select("source_id", "die_offset", text_of("template_type_params", lambda p: F.concat(p["name"], F.lit("="), p["default_type"])).alias("types"), text_of("template_value_params", lambda p: F.concat(p["name"], F.lit(":"), p["type_name"], F.lit("="), p["default_value"])).alias("vals"))
 
 
@@ -542,9 +564,9 @@ direct AS (SELECT b.src, b.owner, b.name, d.underlying AS target FROM base b JOI
 more AS (SELECT DISTINCT d.src, d.owner, d.target AS name FROM direct d JOIN defs e ON e.src = d.src AND e.name = d.target WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.owner = d.owner AND x.name = d.target))
 SELECT owner, name, target FROM direct UNION ALL SELECT m.owner, m.name, e.resolved FROM more m JOIN ends e ON e.src = m.src AND e.name = m.name""", key="owner")
 def used_typedefs_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dies = bridge(spark, sf_dir)
-    parts = records.typed_parts(records.class_records(dies)).where(F.col("part").isin("member", "result", "parameter")).select("source_id", "owner", "type_name")
-    return chains.used_typedefs_legacy(parts, chains.typedefs(dies))
+    graph = graph_of(spark, sf_dir)
+    parts = graph.parts.where(F.col("part").isin("member", "result", "parameter")).select("source_id", "owner", "type_name")
+    return chains.used_typedefs_legacy(parts, chains.typedefs(graph.dies, graph.types.names))
 
 
 @plain("SELECT s_suppkey, '#ifndef ' || upper(s_name) || 'X_H' || chr(10) || '#define ' || upper(s_name) || 'X_H' || chr(10) || chr(10) || '// Class ''' || s_name || 'x'' not found in DWARF information' || chr(10) || '// Generated from DWARF debug information using pyelftools' || chr(10) || chr(10) || '#endif // ' || upper(s_name) || 'X_H' || chr(10) AS header FROM supplier")
