@@ -37,11 +37,13 @@ from .common import arrays, doc_columns, fold, map_arrow, sampled, texts
 ORDER, GAP, NEAR, WIDE = 3, 0.7, 0.75, 40
 #: Labelled rows learned from (about; all if fewer), landmarks of each kind, words in a worker's memory.
 LEARNED_ROWS, LANDMARKS, MEMORY = 6_000, 40, 400_000
+#: Words compared with the landmarks together.
+AT_ONCE = 16_384
 #: Two landmarks of one kind are less alike than this; words that a toxic text is taken to need; values that
 #: calibrate; clean words in the machine's sample; words of a text that it sees.
 ALIKE, NEEDED, TOP, CLEAN, NEAREST = 0.55, 2, 3, 8_000, 12
 #: Toxic texts that make a word a landmark whatever their number, and the most of those; bounds of words looked at.
-SURE, MARKS, WORDS, CANDIDATES, FREQUENT, KIN = 6, 512, 40_000, 2_000, 20_000, 400
+SURE, MARKS, WORDS, CANDIDATES, FREQUENT, KIN = 12, 512, 40_000, 2_000, 20_000, 400
 #: Signs that stand for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 apart = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}").findall
@@ -131,7 +133,11 @@ class Landmarks:
         self.own = kernel(words, words) if words else np.zeros(0, np.float32)
 
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse kernel values of words with landmarks: word, landmark, value."""
+        """Sparse kernel values of words with landmarks: word, landmark, value. Words are taken AT_ONCE at a time."""
+        found = [self.near_some(words[k : k + AT_ONCE], k) for k in range(0, len(words), AT_ONCE)] or [self.near_some([], 0)]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def near_some(self, words: list[str], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [(k, p) for k, w in enumerate(words) for p in windows(w)]
         if not parts or not self.words:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
@@ -148,7 +154,7 @@ class Landmarks:
         at, inv = np.unique(key, return_inverse=True)
         best = np.zeros(len(at), np.float32)
         np.maximum.at(best, inv, value)
-        return at // len(self.words), at % len(self.words), best
+        return at // len(self.words) + first, at % len(self.words), best
 
 
 class Machine:
